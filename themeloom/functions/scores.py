@@ -7,22 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from themeloom.functions.binding import bind
+
 
 def softmax(logits: Column) -> Column:
     """Softmax of an ``ARRAY<DOUBLE>``; the shift and the sum are bound once."""
-    shifted = F.element_at(
-        F.transform(
-            F.array(F.array_max(logits)), lambda m: F.transform(logits, lambda x: F.exp(x - m))
-        ),
-        1,
-    )
-    return F.element_at(
-        F.transform(
-            F.array(shifted),
-            lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)),
-        ),
-        1,
-    )
+    def scale(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+        return bind(total, lambda t: F.transform(e, lambda x: x / t))
+
+    def exps(values: Column) -> Column:
+        return bind(F.array_max(values), lambda m: F.transform(values, lambda x: F.exp(x - m)))
+
+    return bind(bind(logits, exps), scale)
 
 
 def rank_scores(scores: Column, labels: Sequence[str]) -> Column:
@@ -31,9 +28,11 @@ def rank_scores(scores: Column, labels: Sequence[str]) -> Column:
         scores,
         lambda s, i: F.struct((-s).alias("key"), i.alias("ord"), s.alias("score")),
     )
-    ranked = F.array_sort(order)
     names = F.array(*[F.lit(x) for x in labels])
-    return F.struct(
-        F.transform(ranked, lambda r: F.element_at(names, r["ord"] + 1)).alias("labels"),
-        F.transform(ranked, lambda r: r["score"]).alias("scores"),
+    return bind(
+        F.array_sort(order),
+        lambda ranked: F.struct(
+            F.transform(ranked, lambda r: F.element_at(names, r["ord"] + 1)).alias("labels"),
+            F.transform(ranked, lambda r: r["score"]).alias("scores"),
+        ),
     )

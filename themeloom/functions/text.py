@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from themeloom.functions.binding import bind
 from themeloom.functions.stopwords import ENGLISH
 
 # Fixed value: a token is a run of two or more word characters of any script.
@@ -39,15 +40,18 @@ def ngrams(tokens: Column, nmin: int = 1, nmax: int = 2) -> Column:
     if not 1 <= nmin <= nmax:
         raise ValueError(f"need 1 <= nmin <= nmax, got ({nmin}, {nmax})")
 
-    def of_size(n: int) -> Column:
+    def of_size(t: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+            return t
+        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    parts = [of_size(n) for n in range(nmin, nmax + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def all_sizes(t: Column) -> Column:
+        parts = [of_size(t, n) for n in range(nmin, nmax + 1)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return bind(tokens, all_sizes)
 
 
 def topic_label(topic_id: Column, words: Column) -> Column:
@@ -82,10 +86,17 @@ def kept_lengths(n_first: Column, n_second: Column, max_length: int) -> tuple[Co
 
 def truncate_pair(premise: Column, hypothesis: Column, max_length: int) -> Column:
     """``struct(premise, hypothesis)`` cut to ``max_length`` whitespace tokens together."""
-    left = F.filter(F.split(premise, r"\s+"), lambda t: t != "")
-    right = F.filter(F.split(hypothesis, r"\s+"), lambda t: t != "")
-    n_left, n_right = kept_lengths(F.size(left), F.size(right), max_length)
-    return F.struct(
-        F.array_join(F.slice(left, F.lit(1), n_left), " ").alias("premise"),
-        F.array_join(F.slice(right, F.lit(1), n_right), " ").alias("hypothesis"),
+    sides = F.struct(
+        F.filter(F.split(premise, r"\s+"), lambda t: t != "").alias("left"),
+        F.filter(F.split(hypothesis, r"\s+"), lambda t: t != "").alias("right"),
     )
+
+    def cut(pair: Column) -> Column:
+        left, right = pair["left"], pair["right"]
+        n_left, n_right = kept_lengths(F.size(left), F.size(right), max_length)
+        return F.struct(
+            F.array_join(F.slice(left, F.lit(1), n_left), " ").alias("premise"),
+            F.array_join(F.slice(right, F.lit(1), n_right), " ").alias("hypothesis"),
+        )
+
+    return bind(sides, cut)

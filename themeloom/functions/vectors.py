@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions.binding import bind
+
 NORM_FLOOR = 1e-12  # fixed value: smallest norm used as a divisor
 
 
@@ -48,11 +50,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; the norm is bound once so that it is not recomputed per component."""
-    scaled = F.transform(
-        F.array(F.greatest(norm(a), F.lit(NORM_FLOOR))),
-        lambda n: F.transform(as_double(a), lambda x: x / n),
-    )
-    return F.element_at(scaled, 1)
+    floor = F.greatest(norm(a), F.lit(NORM_FLOOR))
+    return bind(floor, lambda n: F.transform(as_double(a), lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.functions.binding import bind
 from themeloom.functions.scores import rank_scores, softmax
 from themeloom.functions.text import format_hypothesis, normalize_label, tokenize, truncate_pair
 from themeloom.functions.vectors import l2_normalize
@@ -50,11 +51,16 @@ class LexicalScorer:
 
     def columns(self, premise: Column, hypothesis: Column) -> Column:
         """One logit per native class, from the share of hypothesis words in the premise."""
-        words = F.array_distinct(tokenize(hypothesis))
-        shared = F.size(F.array_intersect(words, tokenize(premise)))
-        share = shared / F.greatest(F.size(words), F.lit(1))
         n = len(self.native_labels)
-        return F.array(*[share * float(i + 1) - float(i) / n for i in range(n)])
+
+        def share(words: Column) -> Column:
+            shared = F.size(F.array_intersect(words, tokenize(premise)))
+            return shared / F.greatest(F.size(words), F.lit(1))
+
+        def logits(s: Column) -> Column:
+            return F.array(*[s * float(i + 1) - float(i) / n for i in range(n)])
+
+        return bind(bind(F.array_distinct(tokenize(hypothesis)), share), logits)
 
 
 @dataclass
@@ -111,11 +117,8 @@ def score_hypotheses(
         texts = F.array(*[F.lit(h) for h in hypotheses])
 
         def one(hypothesis: Column) -> Column:
-            # The cut pair is bound once and read twice.
-            cut = F.array(truncate_pair(F.col("premise"), hypothesis, max_length))
-            return F.element_at(
-                F.transform(cut, lambda c: scorer.columns(c["premise"], c["hypothesis"])), 1
-            )
+            cut = truncate_pair(F.col("premise"), hypothesis, max_length)
+            return bind(cut, lambda c: scorer.columns(c["premise"], c["hypothesis"]))
 
         return premises.withColumn("logits", F.transform(texts, one))
 

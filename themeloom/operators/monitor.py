@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.monitor import danger, parse_gpu_line, parse_process_line, throughput_bar
+from themeloom.lineage import Workspace
 from themeloom.operators.scan import bucket_of, running
 
 # Monitor defaults.
@@ -94,29 +95,35 @@ def idle_detector(
     the poll that ends the host; later polls of that host are dropped.
     """
     bucket = bucket_of(F.col("ts"), bucket_sec)
-    reading = F.when(F.col("count") >= 0, F.col("count"))
-    rows = samples.withColumn("_reading", reading)
-    rows = running(
-        rows, "host", "ts", bucket,
-        sums={"_served": F.when(F.col("_reading") > 0, 1).otherwise(0), "_polls": F.lit(1)},
+    work = Workspace(samples.sparkSession, "idle")
+    # Each pass reads its input twice, so the passes go through stored tables.
+    armed = samples.groupBy("host").agg(F.min(F.when(F.col("count") > 0, F.col("ts"))).alias("_armed"))
+    rows = samples.join(armed, "host").withColumns(
+        {
+            "_reading": F.when(F.col("count") >= 0, F.col("count")),
+            "_idle": F.coalesce(F.col("ts") >= F.col("_armed"), F.lit(False)),
+        }
     )
-    in_idle = F.col("_served") > 0
+    in_idle = F.col("_idle")
     rows = running(
-        rows, "host", "ts", bucket,
+        work.save(rows, "armed"), "host", "ts", bucket,
+        sums={"_polls": F.lit(1)},
         last_known_before={"_known": F.when(in_idle, F.col("_reading"))},
     )
-    changed = in_idle & F.col("_reading").isNotNull() & (F.col("_reading") != F.col("_known"))
-    unchanged = in_idle & F.col("_reading").isNotNull() & ~F.coalesce(changed, F.lit(False))
+    readable = in_idle & F.col("_reading").isNotNull()
+    changed = readable & F.coalesce(F.col("_reading") != F.col("_known"), F.lit(False))
+    rows = work.save(rows.withColumn("_changed", changed), "changes")
     rows = running(
         rows, "host", "ts", bucket,
-        sums={"_quiet": F.when(unchanged, 1).otherwise(0)},
+        sums={"_quiet": F.when(readable & ~F.col("_changed"), 1).otherwise(0)},
     )
+    rows = work.save(rows, "quiet")
     # The timer since the last reset is the quiet count minus its value at that reset.
     rows = running(
         rows, "host", "ts", bucket,
-        last_known_before={"_before": F.when(F.coalesce(changed, F.lit(False)), F.col("_quiet"))},
+        last_known_before={"_before": F.when(F.col("_changed"), F.col("_quiet"))},
     )
-    base = F.when(F.coalesce(changed, F.lit(False)), F.col("_quiet")).otherwise(
+    base = F.when(F.col("_changed"), F.col("_quiet")).otherwise(
         F.coalesce("_before", F.lit(0))
     )
     timed = rows.withColumns(

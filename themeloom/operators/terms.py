@@ -48,18 +48,20 @@ def topic_order(df: DataFrame) -> DataFrame:
 
 
 def _count_terms(docs: DataFrame, ngram: tuple[int, int], stop_words: Sequence[str]) -> DataFrame:
-    """Term counts with one extra null term per topic, so that a topic without terms still
-    counts as a topic. One aggregate serves both the term counts and the number of topics."""
+    """Term counts, where a document without terms gives its topic a null term of count 0, so
+    that a topic without terms still counts as a topic. Callers test ``tf`` and not ``term``:
+    a test on a grouping key would be pushed below the aggregate, and the branches that read
+    these counts would no longer share one shuffle."""
     tokens = docs.select("topic_id", remove_stop_words(tokenize(F.col("doc")), stop_words).alias("t"))
     terms = tokens.select("topic_id", F.explode_outer(ngrams(F.col("t"), *ngram)).alias("term"))
-    return terms.groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+    return terms.groupBy("topic_id", "term").agg(F.count("term").alias("tf"))
 
 
 def term_counts(
     docs: DataFrame, ngram: tuple[int, int] = NGRAM, stop_words: Sequence[str] = ENGLISH
 ) -> DataFrame:
     """``(topic_id, term, tf)`` over all documents of a topic."""
-    return _count_terms(docs, ngram, stop_words).filter("term IS NOT NULL")
+    return _count_terms(docs, ngram, stop_words).filter("tf > 0")
 
 
 def _term_stats(counts: DataFrame) -> DataFrame:
@@ -116,8 +118,8 @@ def ctfidf(
     if require_topics and docs.isEmpty():
         guard_vectorizer(0)
     counted = _count_terms(docs, ngram, stop_words)
-    n = counted.agg(F.countDistinct("topic_id")).scalar()
-    counts = counted.filter("term IS NOT NULL")
+    n = counted.agg(F.countDistinct(F.when(F.col("tf") >= 0, F.col("topic_id")))).scalar()
+    counts = counted.filter("tf > 0")
     infeasible = (n < min_df) | (F.lit(max_df) * n < min_df)
     stats = _term_stats(counts).withColumn(
         "in_range", infeasible | ((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    # The event times carry no zone; the session runs in UTC.
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
 
 # --- texts and embeddings --------------------------------------------------------------------

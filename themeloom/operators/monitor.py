@@ -133,6 +133,7 @@ def idle_detector(
             "idle_seconds": F.when(in_idle, (F.col("_quiet") - base) * poll_sec).cast("long"),
         }
     )
+    timed = work.save(timed.select("host", "ts", "count", "phase", "startup_seconds", "idle_seconds"), "timed")
     idle_limit, startup_limit = int(idle_min * 60), int(startup_grace_min * 60)
     over = F.lit(False)
     if startup_limit > 0:

@@ -141,9 +141,11 @@ def test_pca_agrees_with_svd(spark):
 
 
 def test_sampling_is_stable_and_exact_in_size(spark):
+    for n_rows, n in [(100, 30), (100, 90), (5000, 40), (5000, 4999)]:
+        df = spark.range(n_rows)
+        a, b = (ids(preprocess.sample_rows(df.repartition(k), n)) for k in (1, 7))
+        assert a == b and len(a) == n
     df = spark.range(100)
-    a, b = (ids(preprocess.sample_rows(df.repartition(n), 30)) for n in (1, 7))
-    assert a == b and len(a) == 30
     assert preprocess.sample_rows(df, 1000).count() == 100
 
 

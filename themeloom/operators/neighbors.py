@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_double, l2_normalize, matrix
 from themeloom.lineage import Workspace
+from themeloom.operators.preprocess import sample_rows
 
 MATRIX_LIMIT_BYTES = 32 << 20  # point sets up to this size travel with the tasks
 BLOCK_ROWS = 4_096  # points per block and queries per chunk
@@ -60,10 +61,10 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def fold_copies(points: DataFrame, keep: int) -> DataFrame:
-    """``(ids, embedding, copies)``: one row per distinct vector with its ``keep`` smallest ids.
+    """``(ids, embedding)``: one row per distinct vector with its ``keep`` smallest ids.
 
-    The ranking keeps ``keep`` rows per vector before the shuffle, and the count is a partial
-    aggregate, so a vector shared by a large part of the table stays cheap.
+    The ranking keeps ``keep`` rows per vector before the shuffle, so a vector shared by a large
+    part of the table stays cheap.
     """
     keyed = points.select(
         "id", as_double(F.col("embedding")).alias("embedding"),
@@ -78,8 +79,24 @@ def fold_copies(points: DataFrame, keep: int) -> DataFrame:
     folded = first.groupBy("_h1", "_h2").agg(
         F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("embedding", "_r").alias("embedding")
     )
-    counts = keyed.groupBy("_h1", "_h2").agg(F.count("*").alias("copies"))
-    return folded.join(counts, ["_h1", "_h2"]).select("ids", "embedding", "copies")
+    return folded.select("ids", "embedding")
+
+
+def fold_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes(node, embedding, copies)``, one per distinct vector and named by its smallest id,
+    and ``members(id, node)``. Copies are summed before the shuffle; the join back has one row
+    per vector on its right, so a crowded vector is split by the adaptive skew join."""
+    keyed = rows.select("id", as_double(F.col("embedding")).alias("embedding")).withColumns(
+        {
+            "h1": F.xxhash64(F.lit(1), F.col("embedding")),
+            "h2": F.xxhash64(F.lit(2), F.col("embedding")),
+        }
+    )
+    nodes = keyed.groupBy("h1", "h2").agg(
+        F.min("id").alias("node"), F.min_by("embedding", "id").alias("embedding"), F.count("*").alias("copies")
+    )
+    members = keyed.select("id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
+    return nodes.drop("h1", "h2"), members.select("id", "node")
 
 
 @dataclass
@@ -123,7 +140,7 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 def build_cells(points: DataFrame, order_by: str, work: Workspace, n_points: int, name: str = "cells") -> Cells:
     """Pivots are points picked by hash order; their number grows with the table up to a bound."""
     n_cells = int(min(MAX_CELLS, max(1, -(-n_points // BLOCK_ROWS) * 4)))
-    picked = points.orderBy(F.xxhash64(F.lit(7), F.col(order_by)), order_by).limit(n_cells)
+    picked = sample_rows(points, n_cells, seed=7, id_col=order_by, n_rows=n_points)
     pivots = np.array([r["embedding"] for r in picked.select("embedding").collect()], dtype=np.float64)
     placed = work.save(_with_cell(points, pivots), name)
     sizes, radii = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +36,31 @@ def center(df: DataFrame, mean: list[float], name: str = "embedding") -> DataFra
     return df.withColumn(name, shifted)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = SEED, id_col: str = "id") -> DataFrame:
-    """``min(n, rows)`` rows without replacement, the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(n)
+def sample_rows(
+    df: DataFrame, n: int, seed: int = SEED, id_col: str = "id", n_rows: int | None = None
+) -> DataFrame:
+    """``min(n, rows)`` rows without replacement, the same ones on every run; ids are unique.
+
+    The rows with the ``n`` smallest id hashes. Only ids and hashes are ranked, and of these only
+    a share slightly above ``n``; the rows themselves are then filtered where they are, without a
+    shuffle. ``n_rows`` is the size of ``df`` or an upper bound of it, where that is known.
+    """
+    n_rows = df.count() if n_rows is None else n_rows
+    if n >= n_rows:
+        return df
+    place = F.struct(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
+    share = (n + 6 * math.sqrt(n) + 10) / n_rows
+    ranks = df.select(place.alias("p"))
+    edge = min(2**63 - 1, int(-(2**63) + min(share, 1.0) * 2**64))
+    likely = ranks.filter(F.col("p.h") <= F.lit(edge).cast("long"))
+    for pool in (likely, ranks):  # the whole pool only if the share fell short of n
+        last = pool.orderBy("p").limit(n).agg(F.count("*").alias("k"), F.max("p").alias("p")).first()
+        if last["k"] == n:
+            break
+    if last["p"] is None:
+        return df.limit(0)
+    end = F.struct(F.lit(last["p"]["h"]).cast("long").alias("h"), F.lit(last["p"]["i"]).alias("i"))
+    return df.filter(place <= end)
 
 
 @dataclass
@@ -79,8 +102,7 @@ def fit_pca(
 ) -> PcaModel:
     """Principal components of a bounded sample. With ``whiten`` every component has unit
     variance, so that the first one cannot dominate distances."""
-    n = df.count()
-    rows = sample_rows(df, sample, seed, id_col) if n > sample else df
+    rows = sample_rows(df, sample, seed, id_col)
     summary = rows.agg(
         Summarizer.metrics("mean", "variance").summary(_vector()).alias("s")
     ).select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")).first()

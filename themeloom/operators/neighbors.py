@@ -33,6 +33,14 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d2, 0.0)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches small enough to hold ``width`` numbers per row at once."""
+    step = max(1, PAIRS_AT_ONCE // max(1, width))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, column, distance)`` of the ``k`` nearest columns of every row, by distance and
     then by column. Candidates come from one matrix product with a margin for its rounding and
@@ -119,18 +127,11 @@ def lower_bounds(to_pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray) ->
 
 def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, PAIRS_AT_ONCE // len(pivots))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in in_slices(batches, len(pivots)):
             x = matrix(batch.column("embedding"))
-            cell, away = [], []
-            for start in range(0, len(x), step):
-                part = x[start : start + step]
-                c = squared_distances(part, pivots).argmin(axis=1)
-                cell.append(c)
-                away.append(np.sqrt(((part - pivots[c]) ** 2).sum(1)))
-            columns = [*batch.columns, pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(away))]
+            cell = squared_distances(x, pivots).argmin(axis=1)
+            away = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+            columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cell", "away"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -237,9 +238,7 @@ def _cell_lists(cells: Cells, with_bound: bool, k: int) -> Callable:
     sizes, pivots, radii = cells.sizes, cells.pivots, cells.radii
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in in_slices(batches, len(pivots)):
             x = matrix(batch.column("embedding"))
             to_pivots = np.sqrt(squared_distances(x, pivots))
             order = np.argsort(to_pivots, axis=1, kind="stable")

@@ -9,7 +9,7 @@ no shuffle whatever the number of premises.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.binding import bind
 from themeloom.functions.scores import rank_scores, softmax
-from themeloom.functions.text import format_hypothesis, normalize_label, tokenize, truncate_pair
+from themeloom.functions.text import format_hypothesis, tokenize, truncate_pair
 from themeloom.functions.vectors import l2_normalize
 
 # Request defaults.
@@ -70,7 +70,6 @@ class BatchScorer:
     load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]
     native_labels: Sequence[str] = ("entailment", "not_entailment")
     batch_size: int = BATCH_SIZE
-    extra: dict = field(default_factory=dict)
 
 
 def _batched(

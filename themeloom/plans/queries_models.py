@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from themeloom.lineage import Workspace
 from themeloom.operators import monitor, preprocess
+from themeloom.operators.concepts import supervised_labels
 from themeloom.operators.density import fit_hdbscan, predict_hdbscan
 from themeloom.operators.manifold import ManifoldModel, fit_manifold, transform_manifold
-from themeloom.plans.inputs import (
-    PLANTED, SAMPLES, VECTORS, concepts, planted, primary, table, texts, vectors,
-)
-from themeloom.plans.queries_monitor import IDLE, LOG, PARSED, RATES, SESSIONS, SPINE, fine, spine
-from themeloom.plans.inputs import resource_log
+from themeloom.plans.inputs import LOG, SAMPLES, concepts, planted, resource_log, table, texts, vectors
+from themeloom.plans.queries_monitor import IDLE, PARSED, RATES, SESSIONS, SPINE, spine
 from themeloom.plans.queries_vectors import long_form
 from themeloom.plans.registry import query
 from themeloom.plans.topic_model import FittedModels, run_topic_model
@@ -57,8 +55,6 @@ def manifold_fit(spark, folder):
 
 @query("manifold_supervised")
 def manifold_supervised(spark, folder):
-    from themeloom.operators.concepts import supervised_labels
-
     rows = vectors(spark, folder).select("id", "embedding")
     labels = supervised_labels(rows, concepts(spark, folder), 0.3)
     return long_form(fit_manifold(rows, labels=labels, n_epochs=10).coords)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import decontaminate, line_dedup, ngram_join, pieces, quality
+from themeloom.llm import decontaminate, fingerprints, line_dedup, ngram_join, pieces, quality
 
 QUERIES = {}
 ORACLE = {}
@@ -54,6 +54,12 @@ def piece_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The judgement of every document: text evidence, site posteriors, score and decision."""

@@ -78,8 +78,12 @@ def in_slices(limit: int, make, *columns: pa.Array) -> pa.Array:
     the size of Spark's batches.
     """
     first = columns[0]
-    nested = pa.types.is_list(first.type)
-    length = pac.multiply(pac.list_value_length(first), 8) if nested else pac.binary_length(first)
+    if pa.types.is_list(first.type):
+        length = pac.multiply(pac.list_value_length(first), 8)
+    elif pa.types.is_integer(first.type):
+        length = pa.array(np.full(len(first), 8))
+    else:
+        length = pac.binary_length(first)
     sizes = np.cumsum(np.asarray(pac.fill_null(length, 0)))
     cuts, low = [], 0
     while low < len(first):

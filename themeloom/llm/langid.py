@@ -32,6 +32,7 @@ SIZES = (2, 3, 4)
 PENALTY = 1.0
 STEPS = 12
 SMOOTH = 0.05
+PART = 1 << 22
 
 MIXTURE = "struct<lang: string, score: double, langs: array<string>, shares: array<double>>"
 
@@ -68,31 +69,36 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def _counts(langs: list[str]):
-    """Counts of each batch: one row for each language, the table as packed 64-bit numbers."""
-
-    def count(batches):
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            data, offsets = text_bytes(batch["text"])
-            for i, lang in enumerate(batch["lang"].to_pylist()):
-                table = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for low in range(int(offsets[i]), int(offsets[i + 1]), 1 << 22):
-                    table += np.bincount(grams(data[low : min(low + (1 << 22), offsets[i + 1])]), minlength=BUCKETS)
-        for lang, table in totals.items():
-            some = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(table[some])],
-                ["lang", "bucket", "n"],
-            )
-
-    return count
+def bucket_counts(data: np.ndarray) -> np.ndarray:
+    """Table of the n-gram buckets of one text, long texts in parts."""
+    table = np.zeros(BUCKETS, np.int64)
+    for low in range(0, len(data), PART):
+        table += np.bincount(grams(data[low : low + PART]), minlength=BUCKETS)
+    return table
+
+
+def _count_task(batches):
+    """Counts of all texts of a task: one row for each language and bucket."""
+    totals: dict[str, np.ndarray] = {}
+    for batch in batches:
+        data, offsets = text_bytes(batch["text"])
+        for i, lang in enumerate(batch["lang"].to_pylist()):
+            table = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            own = data[offsets[i] : offsets[i + 1]]
+            for low in range(0, len(own), PART):
+                np.add.at(table, grams(own[low : low + PART]), 1)
+    for lang, table in totals.items():
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(table[some])],
+            ["lang", "bucket", "n"],
+        )
 
 
 def learn(train: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     """Log-probabilities of n-gram buckets from all rows of ``train``."""
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counted = rows.mapInArrow(_counts([]), "lang string, bucket int, n bigint")
+    counted = rows.mapInArrow(_count_task, "lang string, bucket int, n bigint")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found["lang"].to_pylist()))
     table = np.full((BUCKETS, len(names)), 0.0)
@@ -151,9 +157,7 @@ def languages(model: Languages, spark, text: Column, penalty: float = PENALTY) -
                 langs.append([])
                 shares.append([])
                 continue
-            table = np.zeros(BUCKETS, np.int64)
-            for low in range(int(offsets[i]), int(offsets[i + 1]), 1 << 22):
-                table += np.bincount(grams(data[low : min(low + (1 << 22), offsets[i + 1])]), minlength=BUCKETS)
+            table = bucket_counts(data[offsets[i] : offsets[i + 1]])
             some = np.flatnonzero(table)
             own = infer(log_p[some], table[some].astype(np.float64), penalty)
             best = int(own.argmax())

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import decontaminate, fingerprints, line_dedup, ngram_join, pieces, quality
+from themeloom.llm import (
+    decontaminate, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, quality, urltree,
+)
 
 QUERIES = {}
 ORACLE = {}
@@ -68,12 +70,54 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "judged.*")
 
 
+RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+@query
+def op5_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page, with its path template and that one's purity."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urltree.judge_urls(pages, RULES).select("page_id", "judged.*")
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = docs.withColumn("f", pii.spans(pii.fit_detector(docs), spark, F.col("text")))
+
+    def count(kind: str):
+        return F.size(F.filter("f.base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS],
+        F.sha2(pii.written(F.col("f.base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(pii.all_spans(F.col("f"))).alias("spans"),
+    )
+
+
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near copies and number of links of every document."""
     return ngram_join.near_copies(table(spark, folder, "documents")).drop("key")
 
 
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those whose hash modulo 4 is not 2."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(held_out, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.languages(model, spark, F.col("text")).alias("m"))
+    return found.select(
+        "doc_id", "held_out", F.col("m.lang").alias("lang_pred"), F.col("m.score").alias("score"),
+        F.array_join("m.langs", ",").alias("languages"),
+    )
+
+
 @query
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark hits of every document."""
@@ -86,3 +130,15 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("hits.items"), ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.contaminated(hits).alias("contaminated"),
     )
+
+
+@query
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", licences.licences(F.col("text")).alias("found"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["licence"])))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licences"),
+        F.array_max(F.transform("found", lambda x: x["dice"])).alias("best_dice"), "found",
+    )

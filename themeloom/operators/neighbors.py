@@ -320,7 +320,7 @@ def knn_join(
     """``(query_id, neighbor_id, distance, rank)``: the ``k`` nearest points of every query.
 
     Both inputs are ``(id, embedding)`` with unique ids. Equal distances go by id. ``cosine``
-    distances are ``1 - cos``. ``exclude_self`` leaves out the point with the query's own id.
+    distances are ``1 - cos``; a zero vector is at distance 1 from every other. ``exclude_self`` leaves out the point with the query's own id.
     """
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -330,6 +330,43 @@ def knn_join(
         return df.select("id", (l2_normalize(vec) if metric == "cosine" else as_double(vec)).alias("embedding"))
 
     queries, points = ready(queries), ready(points)
+    if metric == "cosine":
+        return _cosine_join(queries, points, k, exclude_self, matrix_limit, block_rows)
+    return _euclidean_join(queries, points, k, exclude_self, matrix_limit, block_rows)
+
+
+def _cosine_join(
+    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int
+) -> DataFrame:
+    """Unit vectors by half their squared distance. A zero vector has no direction: its cosine
+    to anything is 0, so it stays out of the search and is merged at distance 1."""
+    zero = ~F.exists("embedding", lambda x: x != 0)
+    reach = k + 1 if exclude_self else k
+    near = _euclidean_join(queries.filter(~zero), points.filter(~zero), k, exclude_self, matrix_limit, block_rows)
+    near = near.withColumn("distance", F.col("distance") * F.col("distance") / 2)
+
+    def first(rows: DataFrame) -> list:
+        return [r["id"] for r in rows.select("id").orderBy("id").limit(reach).collect()]
+
+    blank, everyone = first(points.filter(zero)), first(points)
+    id_type = points.schema["id"].dataType
+
+    def at_one(rows: DataFrame, ids: list) -> DataFrame:
+        other = F.explode(F.lit(ids).cast(f"array<{id_type.simpleString()}>") if ids else F.array().cast(f"array<{id_type.simpleString()}>"))
+        pairs = rows.select(F.col("id").alias("query_id"), other.alias("neighbor_id"), F.lit(1.0).alias("distance"))
+        return pairs.filter(F.col("query_id") != F.col("neighbor_id")) if exclude_self else pairs
+
+    # Each query has at most k found rows and k + 1 of the smallest ids at distance 1.
+    merged = near.drop("rank").unionByName(at_one(queries.filter(zero), everyone))
+    if blank:
+        merged = merged.unionByName(at_one(queries.filter(~zero), blank))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
+    return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", "rank")
+
+
+def _euclidean_join(
+    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int
+) -> DataFrame:
     q_type = queries.schema["id"].dataType.simpleString()
     p_type = points.schema["id"].dataType.simpleString()
     schema = f"query_id {q_type}, neighbor_id {p_type}, distance double, rank int"
@@ -345,7 +382,4 @@ def knn_join(
         found = _by_cells(
             queries, work.save(folded, "folded"), k, exclude_self, size["n"], (q_type, p_type), work, block_rows
         )
-    found = found.select("query_id", "neighbor_id", "distance", "rank")
-    if metric == "cosine":
-        found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
-    return found
+    return found.select("query_id", "neighbor_id", "distance", "rank")

@@ -141,13 +141,14 @@ def word_rank(weights: DataFrame) -> DataFrame:
 
 
 def top_words(
-    weights: DataFrame, n: int = TOP_N_WORDS, zero_fill: bool = False
+    weights: DataFrame, n: int = TOP_N_WORDS, zero_fill: bool = False, topics: DataFrame | None = None
 ) -> DataFrame:
     """``(topic_id, word, weight, rank)``: the ``n`` heaviest terms of each topic.
 
     ``zero_fill`` pads a topic that has fewer than ``n`` terms with vocabulary words of weight
     zero, alphabetically. Such a topic lacks at least ``n`` of the first ``2n`` vocabulary
-    words, so only those are considered.
+    words, so only those are considered. ``topics`` lists the topics that get words, also those
+    without any term of the vocabulary; by default the topics of ``weights``.
     """
     best = word_rank(weights.filter("weight > 0")).filter(F.col("rank") <= n)
     best = best.select("topic_id", F.col("term").alias("word"), "weight", "rank")
@@ -155,7 +156,11 @@ def top_words(
         return best
     first = weights.select("term").distinct().orderBy("term").limit(2 * n)
     fill = first.agg(F.array_sort(F.collect_list("term"))).scalar()
-    short = best.groupBy("topic_id").agg(F.count("*").alias("have"), F.collect_list("word").alias("words"))
+    listed = (weights if topics is None else topics).select("topic_id").distinct()
+    own = best.groupBy("topic_id").agg(F.count("*").alias("have"), F.collect_list("word").alias("words"))
+    short = listed.join(own, "topic_id", "left").withColumns(
+        {"have": F.coalesce("have", F.lit(0)), "words": F.coalesce("words", F.array().cast("array<string>"))}
+    )
     padded = (
         short.filter(F.col("have") < n)
         .select(

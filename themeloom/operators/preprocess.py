@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from themeloom.functions.vectors import as_double, list_array, matrix
 
 SEED = 13  # fixed value
-PCA_SAMPLE = 500_000  # fixed value
 
 
 def _vector(name: str = "embedding"):
@@ -96,13 +95,19 @@ def fit_pca(
     df: DataFrame,
     k: int,
     whiten: bool = True,
-    sample: int = PCA_SAMPLE,
+    sample: int | None = None,
     seed: int = SEED,
     id_col: str = "id",
 ) -> PcaModel:
-    """Principal components of a bounded sample. With ``whiten`` every component has unit
-    variance, so that the first one cannot dominate distances."""
-    rows = sample_rows(df, sample, seed, id_col)
+    """Principal components of all rows, or of a hash sample of ``sample`` rows if one is asked for.
+
+    Two passes: the mean with the variance, then the d x d covariance of the centred rows, each a
+    partial and a final aggregation. With ``whiten`` every component has unit variance, so that
+    the first one cannot dominate distances. The sign of a component is free; it is chosen so that
+    its entry of the largest size, the first of those within 1e-9 of it, is positive. Components
+    without variance, beyond the rank of the rows, are zero.
+    """
+    rows = df if sample is None else sample_rows(df, sample, seed, id_col)
     summary = rows.agg(
         Summarizer.metrics("mean", "variance").summary(_vector()).alias("s")
     ).select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")).first()
@@ -110,9 +115,15 @@ def fit_pca(
     centred = center(rows, mean).select(_vector().alias("features"))
     model = PCA(k=k, inputCol="features", outputCol="scores").fit(centred)
     explained = np.array(model.explainedVariance.toArray())
-    variance = explained * float(np.sum(summary["variance"]))
+    total = float(np.sum(summary["variance"]))
+    variance = explained * total
+    loadings = model.pc.toArray()
+    size = np.abs(loadings)
+    lead = (size >= size.max(axis=0) - 1e-9).argmax(axis=0)
+    loadings = loadings * np.where(loadings[lead, np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+    loadings[:, variance <= 1e-12 * max(total, 1e-300)] = 0.0
     scale = np.sqrt(np.maximum(variance, 1e-24)) if whiten else np.ones(k)
-    return PcaModel(mean, model.pc.toArray().tolist(), scale.tolist(), explained.tolist())
+    return PcaModel(mean, loadings.tolist(), scale.tolist(), explained.tolist())
 
 
 def explained_variance(model: PcaModel) -> float:

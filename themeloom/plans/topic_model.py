@@ -78,8 +78,9 @@ def fit_layout(
     mean = pca = None
     seed = int(options["random_seed"])
     if options["pca_n_components"]:
+        sample = options["pca_sample_size"]
         pca = preprocess.fit_pca(
-            corpus, int(options["pca_n_components"]), bool(options["pca_whiten"]), int(options["pca_sample_size"]), seed
+            corpus, int(options["pca_n_components"]), bool(options["pca_whiten"]), int(sample) if sample else None, seed
         )
     elif options["center_embeddings"]:
         mean = list(preprocess.mean_vector(corpus).first()["mean"])

@@ -13,18 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.binding import bind
 from themeloom.functions.scores import rank_scores, softmax
 from themeloom.functions.text import format_hypothesis, tokenize, truncate_pair
-from themeloom.functions.vectors import l2_normalize
+from themeloom.functions.vectors import l2_normalize, list_array
 
 # Request defaults.
 HYPOTHESIS_TEMPLATE = "This example is {}."
 BATCH_SIZE = 128
-MAX_LENGTH = 512
+MAX_LENGTH = 512  # words of a pair that a transformer head reads
 
 
 # --- scorers ---------------------------------------------------------------------------------
@@ -48,6 +49,7 @@ class LexicalScorer:
     """Stand-in model: logits from the words that premise and hypothesis share."""
 
     native_labels: Sequence[str] = ("contradiction", "neutral", "entailment")
+    max_length: int | None = None  # reads whole texts
 
     def columns(self, premise: Column, hypothesis: Column) -> Column:
         """One logit per native class, from the share of hypothesis words in the premise."""
@@ -70,6 +72,7 @@ class BatchScorer:
     load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]
     native_labels: Sequence[str] = ("entailment", "not_entailment")
     batch_size: int = BATCH_SIZE
+    max_length: int | None = None  # the limit of the model, if it has one
 
 
 def _batched(
@@ -109,37 +112,47 @@ def score_hypotheses(
     premises: DataFrame,
     hypotheses: Sequence[str],
     scorer: LexicalScorer | BatchScorer,
-    max_length: int = MAX_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """Adds ``logits ARRAY<ARRAY<DOUBLE>>`` (hypothesis x native class) to ``(id, premise)``."""
+    """Adds ``logits ARRAY<ARRAY<DOUBLE>>`` (hypothesis x native class) to ``(id, premise)``.
+
+    A null premise counts as empty. Without a ``max_length`` the scorer's own limit holds; the
+    built-in one has none.
+    """
+    limit = scorer.max_length if max_length is None else max_length
+    premise = F.coalesce(F.col("premise"), F.lit(""))
     if isinstance(scorer, LexicalScorer):
         texts = F.array(*[F.lit(h) for h in hypotheses])
 
         def one(hypothesis: Column) -> Column:
-            cut = truncate_pair(F.col("premise"), hypothesis, max_length)
-            return bind(cut, lambda c: scorer.columns(c["premise"], c["hypothesis"]))
+            if limit is None:
+                return scorer.columns(premise, hypothesis)
+            return bind(truncate_pair(premise, hypothesis, limit), lambda c: scorer.columns(c["premise"], c["hypothesis"]))
 
         return premises.withColumn("logits", F.transform(texts, one))
 
     load, size, texts = scorer.load, max(1, scorer.batch_size), list(hypotheses)
-    cuts = F.array(
-        *[truncate_pair(F.col("premise"), F.lit(h), max_length) for h in texts]
-    )
+    # The premise goes to Python once; what each hypothesis leaves of it goes as two strings only
+    # where there is a limit.
+    if limit is None:
+        sent = premises.withColumn("_text", premise)
+    else:
+        sent = premises.withColumn("_cuts", F.array(*[truncate_pair(premise, F.lit(h), limit) for h in texts]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = load()
         for pdf in batches:
-            flat = [pair for row in pdf["_cuts"] for pair in row]
-            logits = _batched(
-                score, [c["premise"] for c in flat], [c["hypothesis"] for c in flat], size
-            )
+            if limit is None:
+                flat = [(text, h) for text in pdf["_text"] for h in texts]
+            else:
+                flat = [(c["premise"], c["hypothesis"]) for row in pdf["_cuts"] for c in row]
+            logits = _batched(score, [p for p, _ in flat], [h for _, h in flat], size)
             packed = logits.reshape(len(pdf), len(texts), -1) if len(pdf) else logits
-            yield pdf.drop(columns="_cuts").assign(logits=[list(map(list, m)) for m in packed])
+            kept = pdf.drop(columns="_text" if limit is None else "_cuts")
+            yield kept.assign(logits=[list(map(list, m)) for m in packed])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in premises.schema.fields)
-    return premises.withColumn("_cuts", cuts).mapInPandas(
-        run, f"{names}, logits array<array<double>>"
-    )
+    return sent.mapInPandas(run, f"{names}, logits array<array<double>>")
 
 
 # --- requests --------------------------------------------------------------------------------
@@ -206,7 +219,7 @@ def classify_zero_shot(
     labels: Sequence[str],
     scorer: LexicalScorer | BatchScorer,
     template: str = HYPOTHESIS_TEMPLATE,
-    max_length: int = MAX_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
     """``(id, labels, scores)``: softmax of the entailment logits over the candidate labels."""
     check_request(labels)
@@ -221,7 +234,7 @@ def classify_multi_label(
     labels: Sequence[str],
     scorer: LexicalScorer | BatchScorer,
     template: str = HYPOTHESIS_TEMPLATE,
-    max_length: int = MAX_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
     """``(id, labels, scores)``: per label, entailment against contradiction. The scores of a
     premise do not sum to 1."""
@@ -238,7 +251,7 @@ def classify_direct(
     labels: Sequence[str],
     hypothesis: str,
     scorer: LexicalScorer | BatchScorer,
-    max_length: int = MAX_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
     """``(id, labels, scores)``: one pass per premise with a literal hypothesis; softmax over
     all native classes, of which the requested ones are returned without renormalising."""
@@ -258,9 +271,9 @@ def classify(
         labels, passes, options.get("hypothesis"),
         scorer.native_labels if passes == 1 else None, tuple(options),
     )
-    length = options.get("max_length") or MAX_LENGTH
+    length = options.get("max_length")
     if isinstance(scorer, BatchScorer) and options.get("batch_size"):
-        scorer = BatchScorer(scorer.load, scorer.native_labels, options["batch_size"])
+        scorer = BatchScorer(scorer.load, scorer.native_labels, options["batch_size"], scorer.max_length)
     if passes == 1:
         return classify_direct(premises, labels, options["hypothesis"], scorer, length)
     run = classify_multi_label if options.get("multi_label") else classify_zero_shot
@@ -278,25 +291,29 @@ def sequences_scored(results: DataFrame) -> DataFrame:
 def embed_hashed(df: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
     """``(id, embedding)`` from hashed words: each word adds +1 or -1 to one of ``dim`` cells.
 
-    Built-in stand-in for a model, entirely in the JVM. Words are folded into at most ``dim``
-    sums per document before anything is collected, so long documents stay small.
+    Built-in stand-in for a model. Each row is embedded where it is, without a shuffle, and rows
+    of one id stay apart: Spark turns every word into a signed cell number, one count per Arrow
+    batch adds them up.
     """
-    words = df.select("id", F.explode_outer(tokenize(F.col(text_col))).alias("word"))
-    digest = F.md5(F.col("word").cast("binary"))
-    cell = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-    signed = words.select("id", cell.alias("cell"), sign.alias("sign"))
-    sums = signed.groupBy("id", "cell").agg(F.sum("sign").alias("s"))
-    packed = sums.groupBy("id").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "s")))
-        ).alias("m")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.element_at("m", i.cast("long")).cast("double"), F.lit(0.0)),
-    )
-    return packed.select("id", dense.alias("raw")).select("id", l2_normalize(F.col("raw")).alias("embedding"))
+
+    def coded(word: Column) -> Column:
+        digest = F.md5(word.cast("binary"))
+        cell = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim + 1).cast("int")
+        return F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, cell).otherwise(-cell)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("codes")
+            flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = codes.value_lengths().to_numpy(zero_copy_only=False)
+            place = np.repeat(np.arange(batch.num_rows), counts) * dim + np.abs(flat) - 1
+            sums = np.bincount(place, np.sign(flat), batch.num_rows * dim).reshape(batch.num_rows, dim)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(sums)], names=["id", "raw"])
+
+    codes = F.coalesce(F.transform(tokenize(F.col(text_col)), coded), F.array().cast("array<int>"))
+    id_type = df.schema["id"].dataType.simpleString()
+    sums = df.select("id", codes.alias("codes")).mapInArrow(add_up, f"id {id_type}, raw array<double>")
+    return sums.select("id", l2_normalize(F.col("raw")).alias("embedding"))
 
 
 def embed_text(

@@ -11,10 +11,10 @@ from themeloom.plans.inputs import table
 from themeloom.plans.queries_vectors import long_form
 from themeloom.plans.registry import query
 
-LABELS = ["supports", "refutes", "is not relevant to"]
-CLAIM = "This example {} the following claim: the words of the text are shared by the claim."
-DIRECT_LABELS = ["not relevant", "supports"]
-DIRECT_CLASSES = ("SUPPORTS", "REFUTES", "NOT_RELEVANT")
+LABELS = ["agrees with", "argues against", "says nothing about"]
+CLAIM = "The text {} one statement: the words of the text are shared by the claim."
+DIRECT_LABELS = ["no opinion", "agrees"]
+DIRECT_CLASSES = ("AGREES", "DISAGREES", "NO_OPINION")
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -46,9 +46,11 @@ def truncated(max_length: int) -> str:
       FROM split_pairs)"""
 
 
+WHOLE = "cut AS (SELECT * FROM all_pairs)"
+
 ALL_PAIRS = f"""all_pairs AS (
   SELECT doc_id AS id, text AS premise, ord, label, replace('{CLAIM}', '{{}}', label) AS hypothesis
-  FROM documents, (VALUES (0, 'supports'), (1, 'refutes'), (2, 'is not relevant to')) l(ord, label))"""
+  FROM documents, (VALUES (0, 'agrees with'), (1, 'argues against'), (2, 'says nothing about')) l(ord, label))"""
 
 ONE_PAIR = """all_pairs AS (
   SELECT doc_id AS id, text AS premise, 'the words of the text are shared by the claim' AS hypothesis FROM documents)"""
@@ -87,7 +89,7 @@ def truncate(spark, folder):
     "classify_zero_shot",
     f"WITH scored AS (SELECT *, exp(l2 - m) / sum(exp(l2 - m)) OVER (PARTITION BY id) AS score "
     f"FROM (SELECT *, max(l2) OVER (PARTITION BY id) AS m FROM logits)) {RANKED}",
-    (ALL_PAIRS, truncated(512), SHARE),
+    (ALL_PAIRS, WHOLE, SHARE),
 )
 def zero_shot(spark, folder):
     scorer = inference.LexicalScorer()
@@ -97,7 +99,7 @@ def zero_shot(spark, folder):
 @query(
     "classify_multi_label",
     f"WITH scored AS (SELECT *, 1 / (1 + exp(l0 - l2)) AS score FROM logits) {RANKED}",
-    (ALL_PAIRS, truncated(512), SHARE),
+    (ALL_PAIRS, WHOLE, SHARE),
 )
 def multi_label(spark, folder):
     scorer = inference.LexicalScorer()
@@ -106,11 +108,11 @@ def multi_label(spark, folder):
 
 @query(
     "classify_direct",
-    f"""WITH native AS (SELECT id, exp(l0) / (exp(l0) + exp(l1) + exp(l2)) AS supports,
+    f"""WITH native AS (SELECT id, exp(l0) / (exp(l0) + exp(l1) + exp(l2)) AS agrees,
         exp(l2) / (exp(l0) + exp(l1) + exp(l2)) AS other FROM logits),
-    scored AS (SELECT id, 0 AS ord, 'not relevant' AS label, other AS score FROM native
-               UNION ALL SELECT id, 1, 'supports', supports FROM native) {RANKED}""",
-    (ONE_PAIR, truncated(512), SHARE),
+    scored AS (SELECT id, 0 AS ord, 'no opinion' AS label, other AS score FROM native
+               UNION ALL SELECT id, 1, 'agrees', agrees FROM native) {RANKED}""",
+    (ONE_PAIR, WHOLE, SHARE),
 )
 def direct(spark, folder):
     scorer = inference.LexicalScorer(DIRECT_CLASSES)
@@ -139,7 +141,7 @@ def load_overlap():
     "classify_batch_model",
     f"WITH scored AS (SELECT *, exp(l2 - m) / sum(exp(l2 - m)) OVER (PARTITION BY id) AS score "
     f"FROM (SELECT *, max(l2) OVER (PARTITION BY id) AS m FROM logits)) {RANKED}",
-    (ALL_PAIRS, truncated(512), SHARE),
+    (ALL_PAIRS, WHOLE, SHARE),
 )
 def batch_model(spark, folder):
     """The same request through a Python model fed by Arrow batches."""
@@ -150,7 +152,7 @@ def batch_model(spark, folder):
 @query(
     "score_batches",
     "SELECT id, CAST(ord AS INTEGER) AS ord, round(l0, 6) AS l0, round(l1, 6) AS l1, round(l2, 6) AS l2 FROM logits",
-    (ALL_PAIRS, "cut AS (SELECT * FROM all_pairs)", SHARE),
+    (ALL_PAIRS, WHOLE, SHARE),
 )
 def batches(spark, folder):
     pairs = inference.pairs(premises(spark, folder), LABELS, CLAIM)

@@ -125,6 +125,44 @@ def nearest_joined(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+# Label 9 loses its direction: its rows and its concept become zero vectors.
+ZEROED = """zeroed AS (
+  SELECT vec_id AS id, label, CASE WHEN label = 9 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: 0.0)
+    ELSE CAST(embedding AS DOUBLE[]) END AS embedding FROM embeddings),
+zero_concepts AS (
+  SELECT row_number() OVER (ORDER BY min(id)) - 1 AS concept, arg_min(embedding, id) AS embedding FROM zeroed GROUP BY label),
+zero_scored AS (
+  SELECT z.id, c.concept, CASE WHEN list_sum(list_transform(z.embedding, lambda x: abs(x))) = 0
+      OR list_sum(list_transform(c.embedding, lambda x: abs(x))) = 0 THEN 0.0
+    ELSE list_cosine_similarity(z.embedding, c.embedding) END AS s FROM zeroed z, zero_concepts c)"""
+
+ZERO_NEAREST = """SELECT CAST(id AS VARCHAR) AS id, CAST(CASE WHEN s < 0.05 THEN -1 ELSE concept END AS INTEGER) AS concept, round(s, 6) + 0.0 AS similarity
+  FROM zero_scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, concept) = 1"""
+
+
+def zeroed(spark, folder):
+    vec = as_double(F.col("embedding"))
+    moved = F.when(F.col("label") == 9, F.transform(vec, lambda x: F.lit(0.0))).otherwise(vec)
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label", moved.alias("embedding"))
+
+
+def zero_nearest(spark, folder, **options):
+    rows = zeroed(spark, folder)
+    first = rows.groupBy("label").agg(F.min("id").alias("id"), F.min_by("embedding", "id").alias("embedding"))
+    found = nearest_concept(rows.select("id", "embedding"), first.select("id", "embedding"), 0.05, **options)
+    return found.withColumn("similarity", F.round("similarity", 6) + 0.0)
+
+
+@query("nearest_concept_zero", ZERO_NEAREST, (ZEROED,))
+def nearest_zero(spark, folder):
+    return zero_nearest(spark, folder)
+
+
+@query("nearest_concept_zero_join", ZERO_NEAREST, (ZEROED,))
+def nearest_zero_joined(spark, folder):
+    return zero_nearest(spark, folder, matrix_limit=0)
+
+
 @query(
     "supervised_labels",
     "SELECT id, concept FROM labelled",
@@ -185,6 +223,22 @@ def preprocessing(spark, folder):
     return long_form(preprocess.apply_preprocessing(rows, mean=mean))
 
 
+@query(
+    "sample_size",
+    "SELECT least((SELECT count(*) FROM labels), (SELECT count(*) FROM embeddings)) AS n, 0 AS n_foreign, true AS same_again",
+)
+def sample_size(spark, folder):
+    """Size of a sample, its rows from elsewhere, and whether other partitions give the same rows."""
+    rows = vectors(spark, folder)
+    n = table(spark, folder, "labels").count()
+    one, two = (preprocess.sample_rows(df, n).select("id") for df in (rows, rows.repartition(5)))
+    foreign = one.join(rows.select("id"), "id", "left_anti").agg(F.count("*").alias("n_foreign")).scalar()
+    apart = one.join(two, "id", "left_anti").agg(F.count("*")).scalar()
+    return one.agg(F.count("*").alias("n")).select(
+        "n", foreign.cast("long").alias("n_foreign"), (apart == 0).alias("same_again")
+    )
+
+
 @query("sample_rows")
 def sample(spark, folder):
     """A sampling operator: keeps as many rows as there are labelled works."""
@@ -214,6 +268,23 @@ def pca_moments(spark, folder):
     )
 
 
+@query(
+    "pca_distances",
+    """SELECT a.vec_id AS id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 5) AS distance, 1.0 AS explained
+    FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) c""",
+)
+def pca_distances(spark, folder):
+    """All components without whitening are a rotation: distances stay, all variance is explained."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    model = preprocess.fit_pca(rows, k=WIDTH, whiten=False)
+    placed = preprocess.apply_pca(rows, model)
+    first = F.lit(list(placed.orderBy("id").first()["embedding"]))
+    return placed.select(
+        "id", F.round(euclidean(F.col("embedding"), first), 5).alias("distance"),
+        F.lit(round(preprocess.explained_variance(model), 6)).alias("explained"),
+    )
+
+
 KNN = """pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
          {distance}(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
@@ -248,3 +319,29 @@ def knn_cells(spark, folder):
     rows = points(spark, folder)
     found = knn_join(rows, rows, 5, exclude_self=True, matrix_limit=0)
     return found.withColumn("distance", F.round("distance", 6))
+
+
+ZERO_KNN = """zero_pairs AS (
+  SELECT a.id AS query_id, b.id AS neighbor_id, CASE WHEN a.label = 9 OR b.label = 9 THEN 1.0
+    ELSE list_cosine_distance(a.embedding, b.embedding) END AS distance
+  FROM zeroed a, zeroed b WHERE a.id <> b.id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM zero_pairs
+  QUALIFY rank <= 60)"""
+
+
+def zero_neighbours(spark, folder, **options):
+    """Sixty neighbours, so that a part of the rows reaches the zero vectors at distance 1."""
+    rows = zeroed(spark, folder).select("id", "embedding")
+    found = knn_join(rows, rows, 60, metric="cosine", exclude_self=True, **options)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_cosine_zero", KNN_SQL, (ZEROED, ZERO_KNN))
+def knn_cosine_zero(spark, folder):
+    return zero_neighbours(spark, folder)
+
+
+@query("knn_cosine_zero_cells", KNN_SQL, (ZEROED, ZERO_KNN))
+def knn_cosine_zero_cells(spark, folder):
+    return zero_neighbours(spark, folder, matrix_limit=0)

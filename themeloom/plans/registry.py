@@ -36,5 +36,5 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
 def load() -> None:
     """Imports the modules that register queries."""
     from themeloom.plans import (  # noqa: F401
-        queries_inference, queries_models, queries_monitor, queries_topics, queries_vectors,
+        queries_inference, queries_models, queries_monitor, queries_sources, queries_topics, queries_vectors,
     )

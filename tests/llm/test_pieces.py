@@ -97,5 +97,18 @@ def test_operator(spark, folder):
         assert r["n_source_bytes"] == len(texts[r["doc_id"]].encode())
 
 
+def test_encoder_and_decoder(spark):
+    """The two on their own, with spans as columns."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "doc_id long, text string")
+    made = docs.withColumn("e", pieces.encoder(PATH)(F.col("text")))
+    rows = made.withColumn("back", pieces.decoder(PATH)(F.col("e.ids"))).collect()
+    for r in rows:
+        text = r["text"] or ""
+        ids = LIBRARY.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(r["e"]["ids"], "<u4").tolist() == ids and r["back"] == LIBRARY.decode(ids)
+        assert len(r["e"]["starts"]) == len(r["e"]["ends"]) == len(ids)
+        assert r["e"]["ends"][-1] == len(text.encode())
+
+
 def test_empty_table(spark):
     assert queries.piece_digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -45,14 +45,10 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
-    path = model_path()
-    encoded = docs.withColumn("e", pieces.encoder(path)(F.col("text")))
-    decoded = encoded.withColumn("decoded", pieces.decoder(path)(F.col("e.ids")))
-    # Each span begins where the one before it ends, so the last end is the part of the text covered.
-    return decoded.select(
+    made = docs.withColumn("e", pieces.round_trip(model_path())(F.col("text")))
+    return made.select(
         "doc_id", pieces.n_ids(F.col("e.ids")).alias("n_tokens"), F.sha2("e.ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        F.element_at("e.ends", -1).cast("long").alias("n_source_bytes"),
+        F.sha2(F.col("e.decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("e.covered").alias("n_source_bytes"),
     )
 
 

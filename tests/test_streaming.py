@@ -77,3 +77,35 @@ def test_heartbeat_phases(spark):
     assert got["b"]["phase"] == "STARTUP" and got["b"]["stop_at"] == START + dt.timedelta(minutes=60)
     off = {r["host"]: r for r in monitor.idle_detector_heartbeat(beats, hosts, now, 0, 0).collect()}
     assert not off["a"]["stop"] and not off["b"]["stop"]
+
+
+def fed(spark, make, batches, name):
+    """Every batch of (host, second, count) is one micro-batch."""
+    work = Workspace(spark, "test-late")
+    schema = "host string, ts timestamp, count double"
+    out = None
+    for batch in batches:
+        rows = spark.createDataFrame([(h, START + dt.timedelta(seconds=s), c) for h, s, c in batch], schema)
+        rows.coalesce(1).write.mode("append").parquet(f"{work.root}/in")
+        out = drain(make(stream_of(spark, work, "in", rows)), work, name)
+    return out
+
+
+def test_late_samples_leave_the_rate_alone(spark):
+    got = fed(spark, live.stream_counter_rate, [[("a", 0, 10.0), ("a", 60, 70.0)], [("a", 30, 20.0)], [("a", 120, 190.0)]], "rates")
+    rates = {(r["ts"] - START).seconds: (r["rate"], r["reset"]) for r in got.collect()}
+    assert rates == {0: (None, False), 60: (1.0, False), 30: (None, False), 120: (2.0, False)}
+
+
+def test_late_samples_leave_the_idle_timer_alone(spark):
+    batches = [[("a", 0, 5.0), ("a", 30, 5.0)], [("a", 15, 9.0)], [("a", 60, 5.0)]]
+    got = fed(spark, lambda s: live.stream_idle_detector(s, 60, 60), batches, "idle")
+    assert {(r["ts"] - START).seconds: r["idle_seconds"] for r in got.collect()} == {0: 30, 30: 60, 60: 90}
+
+
+def test_silent_hosts_are_forgotten(spark):
+    hours = 3600
+    batches = [[("a", 0, 10.0), ("b", 0, 1.0)], [("b", 30 * hours, 2.0)], [("b", 31 * hours, 3.0)], [("a", 32 * hours, 20.0)]]
+    got = fed(spark, lambda s: live.stream_counter_rate(s, "1 hour", "1 day"), batches, "rates")
+    last = [r for r in got.collect() if r["host"] == "a" and r["count"] == 20.0]
+    assert len(last) == 1 and last[0]["rate"] is None

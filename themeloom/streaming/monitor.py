@@ -1,8 +1,11 @@
 """Live counter rates, idle decisions and resource series.
 
-The samples of a host keep their order by time within a micro-batch; across batches they must
-arrive in order. The watermark only bounds state: none of these operators has a late-data rule.
-Batch forms of the same operators are in ``themeloom.operators.monitor``.
+The samples of a host are put in order by time within a micro-batch. A sample that arrives after a
+later one of its host has been used is late: it is shown without a rate, or left out of the idle
+decision, and the state stays as it is. Rows older than the watermark, which follows the newest
+time of any host, are dropped by Spark; set it above the largest delay between hosts. A host that
+has been silent for ``forget`` of event time loses its state, so state is bounded by the hosts
+seen lately. Batch forms of the same operators are in ``themeloom.operators.monitor``.
 """
 
 from __future__ import annotations
@@ -24,34 +27,49 @@ IDLE_SCHEMA = (
 BEAT_SCHEMA = "host string, phase string, last_beat timestamp, stop_at timestamp, stop boolean"
 
 
+FORGET = "7 days"  # silence after which a host's state goes
+
+
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values("ts", kind="stable")
 
 
-def stream_counter_rate(samples: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def _remember(state: GroupState, last_ts: int, forget: str) -> None:
+    due = int((last_ts + pd.Timedelta(forget).total_seconds()) * 1000)
+    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+
+def stream_counter_rate(samples: DataFrame, watermark: str = "1 hour", forget: str = FORGET) -> DataFrame:
     """Rate per second from the reading before, kept per host. ``samples(host, ts, count)`` has
-    a row with a null count for a pass that could not be read."""
+    a row with a null count for a pass that could not be read. A late sample has no rate."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_ts, last = state.get if state.exists else (None, None)
         rows = []
         for ts, count in _in_order(frames)[["ts", "count"]].itertuples(index=False):
             now, value = int(ts.timestamp()), None if pd.isna(count) else float(count)
             rate, reset = None, False
-            if last_ts is not None and last is not None and value is not None:
+            if last_ts is not None and now <= last_ts:
+                rows.append((key[0], ts, value, rate, reset))
+                continue
+            if last is not None and value is not None:
                 reset = value < last
-                if now > last_ts and not reset:
+                if not reset:
                     # Half away from zero, as the SQL round does.
                     rate = int((value - last) / (now - last_ts) * 10 + 0.5) / 10
             rows.append((key[0], ts, value, rate, reset))
             last_ts, last = now, value
         state.update((last_ts, last))
+        _remember(state, last_ts, forget)
         out = pd.DataFrame(rows, columns=["host", "ts", "count", "rate", "reset"])
         yield out.astype({"count": "float64", "rate": "float64"})
 
     return (
         samples.withWatermark("ts", watermark).groupBy("host").applyInPandasWithState(
-            step, RATE_SCHEMA, "last_ts long, last double", "append", GroupStateTimeout.NoTimeout
+            step, RATE_SCHEMA, "last_ts long, last double", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -62,16 +80,26 @@ def stream_idle_detector(
     startup_grace_min: float = STARTUP_GRACE_MIN,
     poll_sec: int = POLL_SEC,
     watermark: str = "1 hour",
+    forget: str = FORGET,
 ) -> DataFrame:
-    """The two-phase idle decision as a state machine per host; nothing follows a stop."""
+    """The two-phase idle decision as a state machine per host; nothing follows a stop. Late
+    samples don't count."""
     idle_limit, startup_limit = int(idle_min * 60), int(startup_grace_min * 60)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        served, last, idle, startup, stopped = state.get if state.exists else (False, None, 0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = (None, False, None, 0, 0, False)
+        last_ts, served, last, idle, startup, stopped = state.get if state.exists else first
         rows = []
         for ts, count in _in_order(frames)[["ts", "count"]].itertuples(index=False):
+            now = int(ts.timestamp())
+            if last_ts is not None and now <= last_ts:
+                continue
+            last_ts = now
             if stopped:
-                break
+                continue
             shown = None if pd.isna(count) else float(count)
             value = shown if shown is not None and shown >= 0 else None
             if not served and value is not None and value > 0:
@@ -85,15 +113,16 @@ def stream_idle_detector(
                 idle, last = (idle + poll_sec, last) if value == last else (0, value)
             stopped = 0 < idle_limit <= idle
             rows.append((key[0], ts, shown, "IDLE", None, idle, stopped))
-        state.update((served, last, idle, startup, stopped))
+        state.update((last_ts, served, last, idle, startup, stopped))
+        _remember(state, last_ts, forget)
         names = ["host", "ts", "count", "phase", "startup_seconds", "idle_seconds", "stop"]
         out = pd.DataFrame(rows, columns=names)
         yield out.astype({"count": "float64", "startup_seconds": "Int64", "idle_seconds": "Int64", "stop": "bool"})
 
-    kept = "served boolean, last double, idle long, startup long, stopped boolean"
+    kept = "last_ts long, served boolean, last double, idle long, startup long, stopped boolean"
     return (
         samples.withWatermark("ts", watermark).groupBy("host").applyInPandasWithState(
-            step, IDLE_SCHEMA, kept, "append", GroupStateTimeout.NoTimeout
+            step, IDLE_SCHEMA, kept, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -102,10 +131,13 @@ def stream_idle_heartbeat(
     beats: DataFrame,
     idle_min: float = IDLE_MIN,
     startup_grace_min: float = STARTUP_GRACE_MIN,
-    watermark: str = "0 seconds",
+    watermark: str = "1 hour",
 ) -> DataFrame:
     """One decision row per host when its limit has passed in event time.
 
+    Beats of a host may lag behind those of other hosts by ``watermark``; older ones are lost, so
+    take it above the largest delay. Decisions wait for as long.
+
     ``beats(host, ts, born)``: a host is announced by a row with ``born`` true, whose time starts
     its grace; every later row is activity. The timer follows the watermark, so a quiet host is
     decided as soon as any other host's time has moved past its limit.

@@ -5,13 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from themeloom.lineage import Workspace
 
 
-def stream_of(spark: SparkSession, work: Workspace, name: str, table: DataFrame) -> DataFrame:
+FILES_PER_TRIGGER = 256  # so that a backlog is worked off in batches
+
+
+def stream_of(
+    spark: SparkSession, work: Workspace, name: str, table: DataFrame, files: int = FILES_PER_TRIGGER
+) -> DataFrame:
     """A file stream over the folder that ``Workspace.save`` wrote ``name`` to."""
-    return spark.readStream.schema(table.schema).parquet(f"{work.root}/{name}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{work.root}/{name}")
+
+
+def drain_in_parts(
+    rows: DataFrame, work: Workspace, name: str, make: Callable[[DataFrame], DataFrame], out: str, parts: int = 3
+) -> DataFrame:
+    """Lets ``rows`` arrive in ``parts`` by time, one micro-batch or more each, through one checkpoint."""
+    spark = rows.sparkSession
+    ends = rows.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    done = None
+    for k in range(parts):
+        at = F.least(F.floor((F.unix_micros("ts") - low) * parts / (high - low + 1)), F.lit(parts - 1))
+        rows.filter(at == k).write.mode("append").parquet(f"{work.root}/{name}")
+        done = drain(make(stream_of(spark, work, name, rows)), work, out)
+    return done
 
 
 def drain(stream: DataFrame, work: Workspace, name: str) -> DataFrame:

@@ -5,7 +5,11 @@ around pivots; the triangle inequality tells each query which cells can still ho
 point, and only those are visited. A visit is a co-group of a block of points with a chunk of
 queries; both sides are split to a fixed size, so neither a crowded cell nor a popular one can
 overload a task. Equal vectors are folded into one representative first, so a group of copies
-costs as much as a single point. Nothing is approximated.
+costs as much as a single point.
+
+The join is exact unless the caller asks for ``probes``: then each query visits that many of its
+nearest cells and no others, which is what high-dimensional vectors need, since there the triangle
+inequality rules out little. The size of the table never decides which of the two is run.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ MATRIX_LIMIT_BYTES = 32 << 20  # point sets up to this size travel with the task
 BLOCK_ROWS = 4_096  # points per block and queries per chunk
 MAX_CELLS = 4_096  # bounds the pivots held by every task
 PAIRS_AT_ONCE = 4 << 20  # distances held at a time inside a task
+PIVOT_BYTES = 64 << 20  # pivots of a search with probes, whose cells keep their size as tables grow
 
 
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -138,9 +143,11 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(assign, f"{fields}, cell int, away double")
 
 
-def build_cells(points: DataFrame, order_by: str, work: Workspace, n_points: int, name: str = "cells") -> Cells:
+def build_cells(
+    points: DataFrame, order_by: str, work: Workspace, n_points: int, name: str = "cells", most: int = MAX_CELLS
+) -> Cells:
     """Pivots are points picked by hash order; their number grows with the table up to a bound."""
-    n_cells = int(min(MAX_CELLS, max(1, -(-n_points // BLOCK_ROWS) * 4)))
+    n_cells = int(min(most, max(1, -(-n_points // BLOCK_ROWS) * 4)))
     picked = sample_rows(points, n_cells, seed=7, id_col=order_by, n_rows=n_points)
     pivots = np.array([r["embedding"] for r in picked.select("embedding").collect()], dtype=np.float64)
     placed = work.save(_with_cell(points, pivots), name)
@@ -232,9 +239,9 @@ def _by_matrix(queries: DataFrame, folded: DataFrame, k: int, exclude_self: bool
     return queries.mapInArrow(search, schema)
 
 
-def _cell_lists(cells: Cells, with_bound: bool, k: int) -> Callable:
+def _cell_lists(cells: Cells, with_bound: bool, k: int, probes: int = 1) -> Callable:
     """Batch function adding ``cells_to_visit``: without a bound the nearest cells that hold
-    ``k`` points, with one the other cells that may hold a point nearer than it."""
+    ``k`` points, ``probes`` at least, with one the other cells that may hold a point nearer than it."""
     sizes, pivots, radii = cells.sizes, cells.pivots, cells.radii
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +250,7 @@ def _cell_lists(cells: Cells, with_bound: bool, k: int) -> Callable:
             to_pivots = np.sqrt(squared_distances(x, pivots))
             order = np.argsort(to_pivots, axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
-            n_seed = np.minimum((held < k).sum(axis=1) + 1, len(pivots))
+            n_seed = np.minimum(np.maximum((held < k).sum(axis=1) + 1, probes), len(pivots))
             seed = np.zeros(to_pivots.shape, dtype=bool)
             np.put_along_axis(seed, order, np.arange(len(pivots))[None, :] < n_seed[:, None], axis=1)
             wanted = seed & (sizes > 0)
@@ -262,11 +269,12 @@ def _cell_lists(cells: Cells, with_bound: bool, k: int) -> Callable:
 
 def _by_cells(
     queries: DataFrame, folded: DataFrame, k: int, exclude_self: bool, n_points: int, id_types: tuple[str, str],
-    work: Workspace, block_rows: int,
+    work: Workspace, block_rows: int, probes: int | None = None, width: int = 1,
 ) -> DataFrame:
     reach = k + 1 if exclude_self else k
     points = folded.withColumn("_first", F.col("ids")[0])
-    cells = build_cells(points, "_first", work, n_points)
+    most = MAX_CELLS if probes is None else max(MAX_CELLS, PIVOT_BYTES // (8 * max(1, width)))
+    cells = build_cells(points, "_first", work, n_points, most=most)
     q_type, p_type = id_types
 
     def top_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -284,7 +292,7 @@ def _by_cells(
     def run(frame: DataFrame, with_bound: bool, name: str) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
         listed = frame.mapInArrow(
-            _cell_lists(cells, with_bound, reach), f"{fields}, cells_to_visit array<int>"
+            _cell_lists(cells, with_bound, reach, probes or 1), f"{fields}, cells_to_visit array<int>"
         )
         visits = work.save(
             listed.select("query_id", "embedding", F.explode("cells_to_visit").alias("cell")), f"{name}-visits"
@@ -295,13 +303,19 @@ def _by_cells(
         return work.save(found, name)
 
     near = run(asked, False, "near")
+    if probes is not None:
+        return _best_of(near, k, exclude_self)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance"))
     bound = (
         near.select("query_id", "distance").withColumn("_r", rank).filter(F.col("_r") == reach)
         .select("query_id", F.col("distance").alias("bound"))
     )
     rest = run(asked.join(bound, "query_id", "left"), True, "rest")
-    merged = near.unionByName(rest).select("query_id", F.explode("ids").alias("neighbor_id"), "distance")
+    return _best_of(near.unionByName(rest), k, exclude_self)
+
+
+def _best_of(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    merged = found.select("query_id", F.explode("ids").alias("neighbor_id"), "distance")
     if exclude_self:
         merged = merged.filter(F.col("query_id") != F.col("neighbor_id"))
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
@@ -316,11 +330,13 @@ def knn_join(
     exclude_self: bool = False,
     matrix_limit: int = MATRIX_LIMIT_BYTES,
     block_rows: int = BLOCK_ROWS,
+    probes: int | None = None,
 ) -> DataFrame:
     """``(query_id, neighbor_id, distance, rank)``: the ``k`` nearest points of every query.
 
-    Both inputs are ``(id, embedding)`` with unique ids. Equal distances go by id. ``cosine``
-    distances are ``1 - cos``; a zero vector is at distance 1 from every other. ``exclude_self`` leaves out the point with the query's own id.
+    Both inputs are ``(id, embedding)`` with unique ids. Equal distances go by id.
+    ``probes`` asks for an approximate search of that many cells for each query, whatever the
+    size of the table; ``recall_of`` measures what it finds. ``cosine`` distances are ``1 - cos``; a zero vector is at distance 1 from every other. ``exclude_self`` leaves out the point with the query's own id.
     """
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -331,18 +347,25 @@ def knn_join(
 
     queries, points = ready(queries), ready(points)
     if metric == "cosine":
-        return _cosine_join(queries, points, k, exclude_self, matrix_limit, block_rows)
-    return _euclidean_join(queries, points, k, exclude_self, matrix_limit, block_rows)
+        return _cosine_join(queries, points, k, exclude_self, matrix_limit, block_rows, probes)
+    return _euclidean_join(queries, points, k, exclude_self, matrix_limit, block_rows, probes)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of the exact neighbours that ``found`` has too."""
+    got = found.select("query_id", "neighbor_id", F.lit(1).alias("hit"))
+    joined = exact.select("query_id", "neighbor_id").join(got, ["query_id", "neighbor_id"], "left")
+    return joined.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.countDistinct("query_id").alias("n"))
 
 
 def _cosine_join(
-    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int
+    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int, probes: int | None
 ) -> DataFrame:
     """Unit vectors by half their squared distance. A zero vector has no direction: its cosine
     to anything is 0, so it stays out of the search and is merged at distance 1."""
     zero = ~F.exists("embedding", lambda x: x != 0)
     reach = k + 1 if exclude_self else k
-    near = _euclidean_join(queries.filter(~zero), points.filter(~zero), k, exclude_self, matrix_limit, block_rows)
+    near = _euclidean_join(queries.filter(~zero), points.filter(~zero), k, exclude_self, matrix_limit, block_rows, probes)
     near = near.withColumn("distance", F.col("distance") * F.col("distance") / 2)
 
     def first(rows: DataFrame) -> list:
@@ -365,7 +388,7 @@ def _cosine_join(
 
 
 def _euclidean_join(
-    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int
+    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int, probes: int | None
 ) -> DataFrame:
     q_type = queries.schema["id"].dataType.simpleString()
     p_type = points.schema["id"].dataType.simpleString()
@@ -374,12 +397,12 @@ def _euclidean_join(
         F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
     ).first()
     folded = fold_copies(points, k + 1 if exclude_self else k)
-    if size["n"] * max(size["d"], 1) * 8 <= matrix_limit:
+    if probes is None and size["n"] * max(size["d"], 1) * 8 <= matrix_limit:
         spread = queries.repartition("id")
         found = _by_matrix(spread, folded, k, exclude_self, schema)
     else:
         work = Workspace(queries.sparkSession, "knn")
         found = _by_cells(
-            queries, work.save(folded, "folded"), k, exclude_self, size["n"], (q_type, p_type), work, block_rows
+            queries, work.save(folded, "folded"), k, exclude_self, size["n"], (q_type, p_type), work, block_rows, probes, size["d"]
         )
     return found.select("query_id", "neighbor_id", "distance", "rank")

@@ -10,9 +10,9 @@ from themeloom.functions.vectors import (
 from themeloom.lineage import Workspace
 from themeloom.operators import preprocess
 from themeloom.operators.concepts import label_coverage, nearest_concept, supervised_labels
-from themeloom.operators.neighbors import knn_join
+from themeloom.operators.neighbors import knn_join, recall_of
 from themeloom.plans.inputs import (
-    CONCEPTS, CORPUS, PRIMARY, TEXTS, VECTORS, concepts, corpus, primary, table, vectors,
+    CONCEPTS, CORPUS, PRIMARY, TEXTS, VECTORS, concepts, corpus, planted, primary, table, vectors,
 )
 from themeloom.plans.registry import query
 from themeloom.sources.variants import read_embeddings_only
@@ -321,6 +321,15 @@ def knn_cells(spark, folder):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_recall", "SELECT count(*) AS n, true AS enough FROM embeddings")
+def knn_recall(spark, folder):
+    """A search of three cells for each query finds 95 of 100 neighbours of clustered rows at least."""
+    rows = Workspace(spark, "recall").save(planted(spark, folder).select("id", "embedding"), "rows")
+    exact = knn_join(rows, rows, 5, exclude_self=True)
+    recall = recall_of(knn_join(rows, rows, 5, exclude_self=True, probes=3), exact)
+    return recall.select("n", (F.col("recall") >= 0.95).alias("enough"))
+
+
 ZERO_KNN = """zero_pairs AS (
   SELECT a.id AS query_id, b.id AS neighbor_id, CASE WHEN a.label = 9 OR b.label = 9 THEN 1.0
     ELSE list_cosine_distance(a.embedding, b.embedding) END AS distance

@@ -21,6 +21,7 @@ NGRAM = (1, 2)
 MAX_FEATURES = 20_000
 MIN_DF = 2
 MAX_DF = 0.95
+BROADCAST_TERMS = 500_000  # a vocabulary up to this size travels with the tasks
 TOP_N_WORDS = 15
 
 
@@ -128,7 +129,8 @@ def ctfidf(
     kept = stats.filter(F.col("in_range") | (n_kept == 0))
     idf = (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")
     vocabulary = limit_vocabulary(kept, max_features).select("term", idf)
-    joined = counts.join(F.broadcast(vocabulary), "term")
+    # The caller's bound on terms is a bound on bytes; beyond it Spark chooses the join by size.
+    joined = counts.join(F.broadcast(vocabulary) if max_features <= BROADCAST_TERMS else vocabulary, "term")
     raw = joined.withColumn("raw", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("topic_id")))
     return raw.select("topic_id", "term", "tf", (F.col("raw") / length).alias("weight"))

@@ -30,11 +30,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near copies stays."""
-    classes = ngram_join.near_copies(docs)
+    classes = Workspace(spark, "near-copies").save(ngram_join.near_copies(docs).drop("key"), "classes")
     first = classes.filter("class_rows = 1 OR doc_id <=> class_id").select("doc_id").dropDuplicates()
-    # Rows that repeat an id have met as copies already: one of each id and text stays.
     kept = first.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(docs.columns)
+    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    # Where ids repeat, as in repeated rows, one row of each id and text stays.
+    if classes.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        out = out.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    return out.select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

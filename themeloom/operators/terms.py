@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.stopwords import ENGLISH
 from themeloom.functions.text import doc_text, ngrams, remove_stop_words, tokenize
+from themeloom.lineage import Workspace
 from themeloom.operators.dedup import dedup_by_id
 
 # Vectorizer defaults.
@@ -58,11 +59,44 @@ def _count_terms(docs: DataFrame, ngram: tuple[int, int], stop_words: Sequence[s
     return terms.groupBy("topic_id", "term").agg(F.count("term").alias("tf"))
 
 
+def boundary_bigrams(docs: DataFrame, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
+    """``(topic_id, term, tf)`` of the bigrams that begin with the last word of a document and end
+    with the first word of the next one with words in its topic, by id.
+
+    The words at the ends, not the documents, are sorted into ranges of topic and id. Each range
+    pairs its own neighbours; its last row of a topic takes the first row of the next range that
+    has the topic from a table of one row for each range and topic.
+    """
+    words = remove_stop_words(tokenize(F.col("doc")), stop_words)
+    ends = docs.select("topic_id", "id", words.alias("t")).filter(F.size("t") > 0).select(
+        "topic_id", "id", F.element_at("t", 1).alias("head"), F.element_at("t", -1).alias("tail")
+    )
+    ranges = ends.repartitionByRange("topic_id", "id").withColumn("part", F.spark_partition_id())
+    placed = Workspace(docs.sparkSession, "boundaries").save(ranges, "ends")
+    heads = placed.groupBy("topic_id", "part").agg(F.min_by("head", "id").alias("head"))
+    later = F.lead("head").over(Window.partitionBy("topic_id").orderBy("part"))
+    following = heads.select("topic_id", "part", later.alias("following"))
+    own = F.lead("head").over(Window.partitionBy("topic_id", "part").orderBy("id"))
+    paired = placed.withColumn("own", own).join(following, ["topic_id", "part"])
+    term = F.concat_ws(" ", "tail", F.coalesce("own", "following"))
+    return paired.filter("own IS NOT NULL OR following IS NOT NULL").groupBy("topic_id", term.alias("term")).agg(
+        F.count("*").alias("tf")
+    )
+
+
 def term_counts(
-    docs: DataFrame, ngram: tuple[int, int] = NGRAM, stop_words: Sequence[str] = ENGLISH
+    docs: DataFrame, ngram: tuple[int, int] = NGRAM, stop_words: Sequence[str] = ENGLISH, boundary_ngrams: bool = False
 ) -> DataFrame:
-    """``(topic_id, term, tf)`` over all documents of a topic."""
-    return _count_terms(docs, ngram, stop_words).filter("tf > 0")
+    """``(topic_id, term, tf)`` over all documents of a topic.
+
+    N-grams stay inside a document. ``boundary_ngrams`` adds the bigrams between one document of
+    a topic and the next by id.
+    """
+    counts = _count_terms(docs, ngram, stop_words).filter("tf > 0")
+    if not boundary_ngrams or not ngram[0] <= 2 <= ngram[1]:
+        return counts
+    both = counts.unionByName(boundary_bigrams(docs, stop_words))
+    return both.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def _term_stats(counts: DataFrame) -> DataFrame:

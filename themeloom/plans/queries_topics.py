@@ -158,6 +158,22 @@ def fallback_anti_nulls(spark, folder):
     )
 
 
+@query(
+    "term_counts_boundary",
+    """WITH ends AS (
+      SELECT topic_id, t[len(t)] AS tail, lead(t[1]) OVER (PARTITION BY topic_id ORDER BY id) AS following
+      FROM tokens WHERE len(t) > 0)
+    SELECT topic_id, term, CAST(sum(tf) AS BIGINT) AS tf FROM (
+      SELECT topic_id, term, tf FROM counts
+      UNION ALL SELECT topic_id, tail || ' ' || following, 1 FROM ends WHERE following IS NOT NULL)
+    GROUP BY topic_id, term""",
+    TEXT_INPUT,
+)
+def term_counts_boundary(spark, folder):
+    """With the bigrams between a document and the next one of its topic."""
+    return terms.term_counts(documents(spark, folder), boundary_ngrams=True)
+
+
 @query("term_counts", "SELECT topic_id, term, tf FROM counts", TEXT_INPUT)
 def term_counts(spark, folder):
     return terms.term_counts(documents(spark, folder))

@@ -38,7 +38,6 @@ SPACE = "▁"
 MEMORY = 400_000  # cuts that a worker keeps
 SHORT = 7
 LONG = 100  # characters from which on a cut is merged with a heap
-PART = 1 << 20  # bytes of text that are encoded at a time
 
 ENCODED = "struct<ids: binary, starts: array<int>, ends: array<int>>"
 
@@ -437,7 +436,7 @@ def encoder(path: str, offsets: bool = True):
             ["ids", "starts", "ends"],
         )
 
-    return batch_udf(ENCODED, encode_slice, PART)
+    return batch_udf(ENCODED, encode_slice)
 
 
 def decoder(path: str):
@@ -447,7 +446,7 @@ def decoder(path: str):
         own = model(path)
         return pa.array([own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in ids.to_pylist()], pa.string())
 
-    return batch_udf("string", decode_slice, PART)
+    return batch_udf("string", decode_slice)
 
 
 def round_trip(path: str):
@@ -475,7 +474,7 @@ def round_trip(path: str):
             ["ids", "decoded", "covered"],
         )
 
-    return batch_udf("struct<ids: binary, decoded: string, covered: bigint>", both, PART)
+    return batch_udf("struct<ids: binary, decoded: string, covered: bigint>", both)
 
 
 def n_ids(packed: Column) -> Column:

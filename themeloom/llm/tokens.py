@@ -19,7 +19,7 @@ import pyarrow.compute as pac
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -93,7 +93,9 @@ def in_slices(limit: int, make, *columns: pa.Array) -> pa.Array:
         low = high
     if not cuts:
         return make(*columns)
-    return pa.concat_arrays([make(*[c.slice(*cut) for c in columns]) for cut in cuts])
+    out = pa.concat_arrays([make(*[c.slice(*cut) for c in columns]) for cut in cuts])
+    pa.default_memory_pool().release_unused()  # workers live on beside each other between batches
+    return out
 
 
 def batch_udf(kind: str, make, limit: int = SLICE):

@@ -106,6 +106,25 @@ def test_odd_rows(spark):
     assert len(only) == 2
 
 
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text(st.sampled_from("ABab+/"), max_size=64), st.text(st.sampled_from("ABab+/"), max_size=64)), min_size=1, max_size=6))
+def test_edit_distance_and_stretches(pairs):
+    (a, na), (b, nb) = fp._codes([x for x, _ in pairs]), fp._codes([y for _, y in pairs])
+    assert fp.edit_distance(a, na, b, nb).tolist() == [slow_distance(x, y) for x, y in pairs]
+    for n in (1, 3, 7):
+        common = [bool({x[i : i + n] for i in range(len(x) - n + 1)} & {y[i : i + n] for i in range(len(y) - n + 1)}) for x, y in pairs]
+        assert fp._share_stretch(a, na, b, nb, np.full(len(pairs), n)).tolist() == common
+
+
 def test_likeness(spark):
     base = " ".join(f"word{i * 37 % 101} and{i}" for i in range(300))
     pairs = [(base, base), (base, base[:2000] + "changed here" + base[2000:]), (base, base[::-1]), (base, ""), ("", "")]

@@ -12,7 +12,7 @@ plus one divides by three and has k factors of two. Chunk hashes come from prefi
 
 Fingerprints are compared at block sizes that are equal or differ by two: one minus the edit
 distance over the longer signature, runs of a letter shortened to three, 0 if no stretch of letters
-is common. Equal fingerprints have likeness 1.
+is common. Distances of a batch are computed together, 64 letters to a word of bits. Equal fingerprints have likeness 1.
 
 Defined results: a null text counts as empty; its fingerprint is ``3::``. Two empty texts are
 alike, an empty and another one are not.
@@ -20,6 +20,8 @@ alike, an empty and another one are not.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -109,32 +111,92 @@ def fingerprint(text: Column) -> Column:
     return batch_udf("string", signatures)(text)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Likeness of two signatures of one block size."""
-    a, b = (F.regexp_replace(x, r"(.)\1{3,}", "$1$1$1") for x in (a, b))
-    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+_CODE = np.zeros(256, np.int64)
+_CODE[ALPHABET] = np.arange(LETTERS)
+_RUNS = re.compile(r"(.)\1{3,}")
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter numbers of signatures as a padded table, and their lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    table = np.zeros((len(texts), LETTERS), np.int64)
+    table[np.arange(LETTERS)[None, :] < size[:, None]] = _CODE[np.frombuffer("".join(texts).encode(), np.uint8)]
+    return table, size
+
+
+def edit_distance(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of many pairs at once; a column of the table is one word of bits."""
+    rows, one, zero = np.arange(len(a)), np.uint64(1), np.uint64(0)
+    equal = np.zeros((len(a), LETTERS), np.uint64)
+    for i in range(LETTERS):
+        own = np.flatnonzero(i < a_size)
+        equal[own, a[own, i]] |= one << np.uint64(i)
+    last = np.where(a_size > 0, one << np.maximum(a_size - 1, 0).astype(np.uint64), zero)
+    up, down = np.full(len(a), ~zero), np.zeros(len(a), np.uint64)
+    score = a_size.copy()
+    for j in range(int(b_size.max(initial=0))):
+        live = j < b_size
+        eq = equal[rows, b[:, j]]
+        vertical = eq | down
+        across = (((eq & up) + up) ^ up) | eq
+        rise = down | ~(across | up)
+        fall = up & across
+        score += live * (((rise & last) != zero).astype(np.int64) - ((fall & last) != zero))
+        rise, fall = (rise << one) | one, fall << one
+        up, down = np.where(live, fall | ~(vertical | rise), up), np.where(live, rise & vertical, down)
+    return np.where(a_size > 0, score, b_size)
+
+
+def _share_stretch(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Whether two signatures have ``stretch`` letters in a row in common."""
+    out = np.zeros(len(a), bool)
+    for n in np.unique(stretch).tolist():
+        for low in range(0, len(own := np.flatnonzero(stretch == n)), 1000):
+            part = own[low : low + 1000]
+            places = LETTERS - n + 1
+            x, y = (sum(t[part, k : k + places] << (6 * (n - 1 - k)) for k in range(n)) for t in (a, b))
+            x = np.where(np.arange(places) + n <= a_size[part, None], x, -1)
+            y = np.where(np.arange(places) + n <= b_size[part, None], y, -2)
+            out[part] = (x[:, :, None] == y[:, None, :]).any((1, 2))
+    return out
+
+
+def alike(a: list[str], b: list[str]) -> np.ndarray:
+    """Likeness of signatures of one block size."""
+    (a, a_size), (b, b_size) = (_codes([_RUNS.sub(r"\1\1\1", t) for t in x]) for x in (a, b))
+    shorter, longer = np.minimum(a_size, b_size), np.maximum(a_size, b_size)
+    near = 1 - edit_distance(a, a_size, b, b_size) / np.maximum(longer, 1)
     # Letters agree by chance; only texts with a common stretch of chunks are compared.
-    stretch = F.least(F.lit(WINDOW), F.greatest(F.lit(1), F.floor(shorter / 4).cast("int")))
-
-    def parts(x):
-        last = F.greatest(F.length(x) - stretch + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(x, i, stretch))
-
-    near = 1 - F.levenshtein(a, b) / longer
-    return F.when((shorter > 0) & F.arrays_overlap(parts(a), parts(b)), near).otherwise(F.lit(0.0))
+    stretch = np.minimum(WINDOW, np.maximum(1, shorter // 4))
+    return np.where((shorter > 0) & _share_stretch(a, a_size, b, b_size, stretch), near, 0.0)
+
+
+def _likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = np.zeros(len(a))
+    jobs: list[tuple[int, str, str]] = []
+    for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+        if x is None or y is None:
+            continue
+        if x == y:
+            out[i] = 1.0
+            continue
+        (bx, *sx), (by, *sy) = x.split(":"), y.split(":")
+        bx, by = int(bx), int(by)
+        if bx == by:
+            jobs += [(i, sx[0], sy[0]), (i, sx[1], sy[1])]
+        elif bx == 2 * by:
+            jobs.append((i, sx[0], sy[1]))
+        elif by == 2 * bx:
+            jobs.append((i, sx[1], sy[0]))
+    if jobs:
+        where, left, right = zip(*jobs)
+        np.maximum.at(out, np.array(where), alike(list(left), list(right)))
+    return pa.array(out)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprints; 0 where their block sizes are too far apart."""
-    pa_, pb = F.split(a, ":"), F.split(b, ":")
-    block_a, block_b = pa_[0].cast("long"), pb[0].cast("long")
-    return (
-        F.when(a == b, F.lit(1.0))
-        .when(block_a == block_b, F.greatest(_alike(pa_[1], pb[1]), _alike(pa_[2], pb[2])))
-        .when(block_a == 2 * block_b, _alike(pa_[1], pb[2]))
-        .when(block_b == 2 * block_a, _alike(pa_[2], pb[1]))
-        .otherwise(F.lit(0.0))
-    )
+    """0 to 1 for two fingerprints; 0 where their block sizes are too far apart or one is null."""
+    return batch_udf("double", _likeness)(a, b)
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str], prefix: str = "next_") -> DataFrame:

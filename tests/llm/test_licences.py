@@ -1,5 +1,6 @@
 """Licence notices against a comparison of every stretch with every template."""
 
+import random
 import re
 from collections import Counter
 
@@ -68,3 +69,57 @@ def test_odd_rows(spark):
     assert [len(got[i]) for i in range(1, 6)] == [0, 0, 0, 1, 3]
     assert got[4][0]["word"] == 80000 and got[4][0]["words"] == 5
     assert docs.limit(0).select(lc.licences(F.col("text"))).collect() == []
+
+
+def every_window(text):
+    """The rule over all windows of a text: by coefficient, length, place and name, without overlap."""
+    w = WORDS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    pairs, found = list(zip(w, w[1:])), []
+    for name, b in THEIRS:
+        size = sum(b.values())
+        for i in range(len(pairs)):
+            own, common = Counter(), 0
+            for j in range(i, min(len(pairs), i + 2 * size)):
+                own[pairs[j]] += 1
+                common += own[pairs[j]] <= b[pairs[j]]
+                dice = 2 * common / (j - i + 1 + size)
+                if dice >= lc.LEAST:
+                    found.append((-dice, i - j, i, name, j + 2))
+    kept = []
+    for dice, _, i, name, end in sorted(found):
+        if not any(i < y and x < end for x, y, *_ in kept):
+            kept.append((i, end, name, -dice))
+    return sorted(kept)
+
+
+def scanned(texts):
+    found = lc.scan(pa.array(texts), lc.Templates(lc.TEMPLATES, lc.LEAST))
+    return [[(f["word"], f["word"] + f["words"], f["licence"], f["dice"]) for f in own] for own in found]
+
+
+def test_every_window():
+    rng = random.Random(5)
+    texts = ["released", "under the MIT License", ""]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += rng.choices(["the", "license", "under", "of", "software", "zebra", "mit"], k=rng.randrange(12))
+            own = rng.choice(lc.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(["the", "software", "sea"])
+            words += own[: rng.randrange(len(own) // 2, len(own) + 1)]
+        texts.append("".join(x + rng.choice([" ", " ", "\n"]) for x in words))
+    assert scanned(texts) == [every_window(t) for t in texts]
+
+
+def test_notices_inside_larger_stretches():
+    gpl, mpl, bsd = (next(t for n, t in lc.TEMPLATES if n == name) for name in ("GPL-3.0", "MPL-2.0", "BSD-3-Clause"))
+    header = "".join(f"# {' '.join(gpl.split()[k : k + 9])}\n" for k in range(0, len(gpl.split()), 9))
+    texts = [
+        header + "#\n# This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even\n# the implied warranty.",
+        f"Here one more word or two go first and {mpl} Then others follow it without any line break at all, as long as it",
+        re.sub(r" (?=[123]\. )", "\n\n", bsd) + "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS",
+        "This project is released under the MIT License and welcomes whatever help.",
+    ]
+    assert [[f[2] for f in own] for own in scanned(texts)] == [["GPL-3.0"], ["MPL-2.0"], ["BSD-3-Clause"], ["MIT"]]
+    assert all(f[3] == 1 for own in scanned(texts) for f in own)

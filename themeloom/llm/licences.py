@@ -1,14 +1,16 @@
-"""Licence scans: stretches of text against licence templates by Dice over word bigrams.
+"""Licence scans: every word window of a text against licence templates by Dice over word bigrams.
 
-A stretch is a whole text, a paragraph, a line or a sentence. Its words are folded to lower case
-without punctuation; its bigrams and those of a template are compared as multisets,
-``2 * common / (own + theirs)``. Two bounds come first: a stretch of ``a`` bigrams can reach
-``least`` only with templates of ``a * least / (2 - least)`` to ``a * (2 - least) / least`` bigrams, and
-only if enough of its bigrams occur in any template. What is left is compared exactly.
+Words are folded to lower case without punctuation; the bigrams of a window and those of a
+template are compared as multisets, ``2 * common / (own + theirs)``. Windows lie anywhere in a
+text, whatever lines, sentences or paragraphs they cross; texts, paragraphs, lines and sentences are
+windows too. A window of ``a`` bigrams can reach ``least`` only with templates of
+``a * least / (2 - least)`` to ``a * (2 - least) / least`` bigrams, and only if as many of its bigrams as
+the shortest such window has occur in the template. Starts with fewer are passed over; from the
+others all windows are compared exactly. A window that begins or ends with a bigram that is not
+common overlaps a shorter one of higher coefficient and cannot stay.
 
-Each stretch is given its best template; of stretches that overlap the one of the higher
-coefficient stays, the longer one of equals. Of templates with equal coefficients the first by
-name is taken.
+Of windows that overlap the one of the higher coefficient stays, of equals the longer one, then
+the earlier one, then the first template by name.
 
 Defined results: a null text, one without words or with one word only has no match.
 """
@@ -56,87 +58,87 @@ TEMPLATES = [
 ]
 
 
+# Windows compared at a time: starts times sizes.
+CELLS = 1 << 20
+
+
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.least = least
         self.names = [name for name, _ in templates]
         words = words_of(*text_bytes(pa.array([t for _, t in templates], pa.string())))
-        self.bigrams = [Counter(_bigrams(words, a, b)) for a, b in zip(words.first[:-1], words.first[1:])]
-        self.sizes = np.array([sum(b.values()) for b in self.bigrams], int)
-        self.known = np.unique(np.array(sorted(set().union(*self.bigrams)), np.uint64))
-
-    def best(self, own: Counter, size: int) -> tuple[float, str] | None:
-        """Best coefficient and name for a stretch of ``size`` bigrams."""
-        found = []
-        for k in np.flatnonzero((self.sizes * (2 - self.least) >= size * self.least) & (self.sizes * self.least <= size * (2 - self.least))):
-            theirs = self.bigrams[k]
-            common = sum(min(n, theirs[g]) for g, n in own.items() if g in theirs)
-            dice = 2 * common / (size + int(self.sizes[k]))
-            if dice >= self.least:
-                found.append((-dice, self.names[k]))
-        return (-min(found)[0], min(found)[1]) if found else None
-
-
-def _bigrams(words, a: int, b: int) -> list[int]:
-    return window_hashes(words.hash[a:b], 2).tolist()
-
-
-def stretches(data: np.ndarray, words) -> list[np.ndarray]:
-    """First words of the stretches of each kind, over all texts."""
-    newline = data == 10
-    sentence = newline.copy()
-    sentence[1:] |= (data[1:] == 32) & np.isin(data[:-1], np.frombuffer(b".!?", np.uint8))
-    paragraph = np.zeros(len(data), bool)
-    paragraph[1:] = newline[1:] & newline[:-1]
-    out = []
-    texts = words.first[:-1][words.first[:-1] < len(words.hash)]
-    for edge in (np.zeros(len(data), bool), paragraph, newline, sentence):
-        edges = np.cumsum(edge)
-        begins = np.zeros(len(words.hash), bool)
-        begins[1:] = edges[words.start[1:]] > edges[words.start[:-1]]
-        begins[texts] = True
-        out.append(np.flatnonzero(begins))
-    return out
+        bigrams = [Counter(window_hashes(words.hash[a:b], 2).tolist()) for a, b in zip(words.first[:-1], words.first[1:])]
+        self.sizes = np.array([sum(b.values()) for b in bigrams], int)
+        self.known = np.unique(np.array(sorted(set().union(*bigrams)), np.uint64))
+        self.counts = np.array([[b.get(g, 0) for g in self.known.tolist()] for b in bigrams], np.int64)
+
+
+def _windows(at: np.ndarray, which: np.ndarray, counts: np.ndarray, size: int, stop: np.ndarray, least: float):
+    """Coefficient, first bigram and size of the windows that reach ``least`` with a template.
+
+    ``at`` and ``which`` are place and number of the bigrams that the template has ``counts`` of, in
+    order; ``stop`` is the end of the bigrams of their texts.
+    """
+    most = int(size * (2 - least) / least + 1e-9)
+    fewest = int(np.ceil(size * least / (2 - least) - 1e-9))
+    starts = np.flatnonzero(np.searchsorted(at, np.minimum(at + most, stop)) - np.arange(len(at)) >= max(fewest, 1))
+    if not len(starts):
+        return
+    # A bigram counts in a window unless the window holds as many equal ones before it as the template has.
+    order = np.lexsort((at, which))
+    group, place, own = which[order], at[order], counts[which[order]]
+    before = np.full(len(at), -1)
+    k = np.arange(len(at)) - own
+    same = (k >= 0) & (group[np.maximum(k, 0)] == group)
+    before[order] = np.where(same, place[np.maximum(k, 0)], -1)
+    for low in range(0, len(starts), max(1, CELLS // most)):
+        rows = starts[low : low + max(1, CELLS // most)]
+        # The template's bigrams from each start on: at most as many as the longest window has.
+        cells = rows[:, None] + np.arange(most)
+        inside = cells < len(at)
+        cells = np.minimum(cells, len(at) - 1)
+        first = at[rows][:, None]
+        inside &= at[cells] < np.minimum(first + most, stop[rows][:, None])
+        counted = inside & (before[cells] < first)
+        common = np.cumsum(counted, axis=1)
+        own_size = at[cells] - first + 1
+        dice = 2 * common / (own_size + size)
+        r, c = np.nonzero(counted & (dice >= least))
+        yield dice[r, c], at[rows][r], own_size[r, c]
 
 
 def scan(column: pa.Array, templates: Templates) -> list[list[dict]]:
-    data, offsets = text_bytes(column)
-    words = words_of(data, offsets)
-    n = len(words.hash)
+    words = words_of(*text_bytes(column))
     out: list[list[dict]] = [[] for _ in range(len(column))]
-    if n < 2:
+    if len(words.hash) < 2:
         return out
     pairs = window_hashes(words.hash, 2)
     where = np.searchsorted(templates.known, pairs)
     where[where == len(templates.known)] = 0
-    known = np.concatenate([[0], np.cumsum(templates.known[where] == pairs)])
-    if not known[-1]:
+    at = np.flatnonzero(templates.known[where] == pairs)
+    stop = words.first[np.searchsorted(words.first, at, "right")] - 1
+    # A pair of the last word of a text and the first one of the next is no bigram.
+    at, stop = at[at < stop], stop[at < stop]
+    which = where[at]
+    parts = []
+    rank = np.argsort(np.argsort(np.array(templates.names), kind="stable"))
+    for k, counts in enumerate(templates.counts):
+        own = counts[which] > 0
+        for dice, first, size in _windows(at[own], which[own], counts, int(templates.sizes[k]), stop[own], templates.least):
+            parts.append((dice, first, size, np.full(len(dice), k)))
+    if not parts:
         return out
-    most = templates.sizes.max() * (2 - templates.least) / templates.least
-    seen: dict[tuple[int, int], tuple[float, str] | None] = {}
-    for first in stretches(data, words):
-        last = np.append(first[1:], n)
-        size = last - first - 1
-        hits = known[np.maximum(last - 1, 0)] - known[first]
-        # At least this many bigrams must be common with a template of the best size.
-        for k in np.flatnonzero((size > 0) & (size <= most) & (hits >= size * templates.least / 2) & (hits > 0)).tolist():
-            span = int(first[k]), int(last[k])
-            if span not in seen:
-                seen[span] = templates.best(Counter(pairs[span[0] : span[1] - 1].tolist()), int(size[k]))
-    by_text: dict[int, list] = {}
-    for (a, b), best in seen.items():
-        if best:
-            owner = int(np.searchsorted(words.first, a, "right")) - 1
-            by_text.setdefault(owner, []).append((-best[0], a - b, a, b, best[1]))
-    for owner, own in by_text.items():
-        kept: list[tuple] = []
-        for dice, _, a, b, name in sorted(own):
-            if not any(x < b and a < y for _, x, y, _ in kept):
-                kept.append((-dice, a, b, name))
-        base = int(words.first[owner])
-        out[owner] = [
-            {"licence": name, "dice": dice, "word": a - base, "words": b - a} for dice, a, b, name in sorted(kept, key=lambda x: x[1])
-        ]
+    dice, first, size, k = (np.concatenate(x) for x in zip(*parts))
+    taken = bytearray(len(words.hash))
+    kept = []
+    for i in np.lexsort((rank[k], first, -size, -dice)).tolist():
+        a, b = int(first[i]), int(first[i] + size[i]) + 1
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            kept.append((a, b, float(dice[i]), templates.names[k[i]]))
+    for a, b, value, name in sorted(kept):
+        owner = int(np.searchsorted(words.first, a, "right")) - 1
+        out[owner].append({"licence": name, "dice": value, "word": a - int(words.first[owner]), "words": b - a})
     return out
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from themeloom.lineage import Workspace
 from themeloom.operators import monitor
+from themeloom.plans import queries_models
 from themeloom.streaming import monitor as live
 from themeloom.streaming.run import drain, stream_of
 
@@ -109,3 +110,25 @@ def test_silent_hosts_are_forgotten(spark):
     got = fed(spark, lambda s: live.stream_counter_rate(s, "1 hour", "1 day"), batches, "rates")
     last = [r for r in got.collect() if r["host"] == "a" and r["count"] == 20.0]
     assert len(last) == 1 and last[0]["rate"] is None
+
+
+def test_log_lines_arrive_apart(spark):
+    """The two lines of a sample come in different micro-batches, the later one first."""
+    work = Workspace(spark, "test-log-lines")
+    rows = [("a", 7, "9 %, 2048 MiB"), ("a", 5, "--- 12:00:05 ---"), ("b", 7, "1 %, 1024 MiB"), ("a", 9, "3 %, 1 MiB")]
+    process = "  etime=01:05    cpu= 99.5%  pod_mem= 92.1%  vsz=  80.2GB  rss=  49.3GB"
+    later = [("a", 6, process), ("b", 5, process)]
+    first, second = (spark.createDataFrame(x, "file string, line_no long, line string") for x in (rows, later))
+    saved = work.save(first, "in")
+    drain(monitor.typed_lines(stream_of(spark, work, "in", saved)), work, "typed")
+    second.write.mode("append").parquet(f"{work.root}/in")
+    typed = drain(monitor.typed_lines(stream_of(spark, work, "in", saved)), work, "typed")
+    got = sorted(monitor.pair_typed_lines(typed).select("file", "line_no", "gpu_gib", "danger").collect())
+    assert [tuple(r) for r in got] == [("a", 6, 2.0, True), ("b", 5, None, True)]
+
+
+def test_stream_query_collects_no_log(spark, folder, monkeypatch):
+    saved = []
+    monkeypatch.setattr(queries_models, "stream_of", lambda s, w, name, table: saved.append(table) or stream_of(s, w, name, table))
+    assert queries_models.stream_resource_series(spark, folder).count()
+    assert saved[0].columns == ["file", "line_no", "line"]

@@ -221,12 +221,22 @@ def pair_next_line(lines: DataFrame) -> DataFrame:
     return lines.join(following, ["file", "line_no"], "left")
 
 
+def typed_lines(lines: DataFrame) -> DataFrame:
+    """``(file, line_no, p, g)``: the process and GPU lines of resource logs, parsed line by line.
+    It keeps no state, so that it also runs on a stream of arriving lines."""
+    parsed = lines.select("file", "line_no", parse_process_line(F.col("line")).alias("p"), parse_gpu_line(F.col("line")).alias("g"))
+    return parsed.filter("p IS NOT NULL OR g.gpu IS NOT NULL")
+
+
 def parse_resource_log(lines: DataFrame) -> DataFrame:
     """Typed rows of a resource log: each process line with the GPU line right after it."""
-    process = lines.withColumn("p", parse_process_line(F.col("line"))).filter("p IS NOT NULL")
-    following = lines.select(
-        "file", (F.col("line_no") - 1).alias("line_no"), parse_gpu_line(F.col("line")).alias("g")
-    ).filter("g.gpu IS NOT NULL")
+    return pair_typed_lines(typed_lines(lines))
+
+
+def pair_typed_lines(typed: DataFrame) -> DataFrame:
+    """Each process line with the GPU line right after it, by an equi join on the line number."""
+    process = typed.select("file", "line_no", "p").filter("p IS NOT NULL")
+    following = typed.select("file", (F.col("line_no") - 1).alias("line_no"), "g").filter("g.gpu IS NOT NULL")
     joined = process.join(following, ["file", "line_no"], "left")
     return joined.select(
         "file", "line_no", "p.minutes", "p.cpu", "p.pod_mem", "p.rss", "g.gpu", "g.gpu_gib",

@@ -17,10 +17,9 @@ from themeloom.plans.queries_monitor import IDLE, PARSED, RATES, SESSIONS, SPINE
 from themeloom.plans.queries_vectors import long_form
 from themeloom.plans.registry import query
 from themeloom.plans.topic_model import FittedModels, run_topic_model
-from themeloom.sources.stages import read_if_present
 from themeloom.streaming import monitor as live
 from themeloom.streaming.projection import score_stream
-from themeloom.streaming.run import drain_batches, drain_in_parts, stream_of
+from themeloom.streaming.run import drain, drain_in_parts, stream_of
 
 # Labels are the planted clusters: topics count from 0 by falling size, then by smallest id.
 PLANTED_TOPICS = """planted_topics AS (
@@ -236,20 +235,12 @@ def stream_heartbeat(spark, folder):
     (LOG, PARSED),
 )
 def stream_resource_series(spark, folder):
-    """Logs arrive as text files, one per user, and are read whole."""
+    """Log lines arrive in any order and are parsed one by one; a line finds the next one of its
+    log among all that have arrived."""
     work = Workspace(spark, "stream")
-    lines = resource_log(spark, folder)
-    # One log per user: the lines of a user are what one job wrote.
-    logs = lines.groupBy("file").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("value")
-    )
-    saved = work.save(logs, "logs")
-    series = monitor.resource_series(live.parse_whole_logs(stream_of(spark, work, "logs", saved)), 1440.0)
-    out = f"{work.root}/series"
-    drain_batches(
-        series, lambda batch, _: batch.write.mode("overwrite").parquet(out), f"{out}-checkpoint", "complete"
-    )
-    found = read_if_present(spark, out)
+    saved = work.save(resource_log(spark, folder), "logs")
+    typed = drain(monitor.typed_lines(stream_of(spark, work, "logs", saved)), work, "typed")
+    found = monitor.resource_series(monitor.pair_typed_lines(typed), 1440.0)
     return found.withColumns({"cpu": F.round("cpu", 6), "gpu_gib_peak": F.round("gpu_gib_peak", 6)})
 
 

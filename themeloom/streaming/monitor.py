@@ -14,10 +14,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from themeloom.functions.monitor import danger, parse_gpu_line, parse_process_line
 from themeloom.operators.monitor import IDLE_MIN, POLL_SEC, STARTUP_GRACE_MIN
 
 RATE_SCHEMA = "host string, ts timestamp, count double, rate double, reset boolean"
@@ -185,17 +183,3 @@ def stream_idle_heartbeat(
             step, BEAT_SCHEMA, kept, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
-
-
-def parse_whole_logs(logs: DataFrame) -> DataFrame:
-    """Typed rows of whole-file logs ``(file, value)``: each process line with the line after it,
-    paired inside the row, so that it also runs on a stream of arriving files."""
-    lines = F.split("value", "\r?\n")
-    shifted = logs.select("file", lines.alias("lines")).select(
-        "file", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), F.slice("lines", F.lit(2), F.size("lines")).alias("next"))).alias("line_no", "l")
-    )
-    parsed = shifted.select(
-        "file", F.col("line_no").cast("long").alias("line_no"), parse_process_line(F.col("l.line")).alias("p"),
-        parse_gpu_line(F.coalesce("l.next", F.lit(""))).alias("g"),
-    ).filter("p IS NOT NULL")
-    return parsed.select("file", "line_no", "p.*", "g.*", danger(F.col("p.pod_mem")).alias("danger"))

@@ -116,3 +116,18 @@ def test_empty_table(spark):
 ])
 def test_patience(a, b, pairs):
     assert ld.patience(np.array(a, np.uint64), np.array(b, np.uint64)) == pairs
+
+
+def test_equals_comparison_with_every_earlier_document(spark):
+    """The first document of a run may have less of a block than a later, still earlier one."""
+    rng = random.Random(9)
+    pool = [" ".join(f"p{k}x{j}" for j in range(rng.choice([2, 5, 9, 27]))) + "." for k in range(14)]
+    long, short, other = pool[0] + " more " * 30 + "end.", "Trailing words here.", "Words before it."
+    rows = [(0, long), (1, "\n".join([other, long, short, "Two more."])), (2, "\n".join(["Own.", other, long, short, "Two more.", "Own too."]))]
+    for i in range(3, 60):
+        start = rng.randrange(len(pool))
+        text = [*lines(rng, 2), *pool[start : start + rng.randrange(1, 7)], *lines(rng, 1), *rng.sample(pool, 3)]
+        rows.append((i, "\n".join(text)))
+    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows, ld.BLOCK_WORDS)
+    assert got[2] == "Own.\nOwn too."

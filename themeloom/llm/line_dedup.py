@@ -5,16 +5,18 @@ lower case. Documents are ordered by id; a block of lines that an earlier docume
 deleted from the later one.
 
 1. One pass stores the line hashes, word counts and places of every document.
-2. Documents meet through shared rare runs: the shortest run of lines from each line on that has
-   ``block_words`` words (or up to the end of the document, for its last words), so that short
+2. Documents meet through shared rare runs: the shortest runs of lines from each line on and up to
+   each line that have ``block_words`` words (or all of a document that is shorter), so that short
    common lines alone bring nobody together. Each run links a document to the first one that has
-   the run, which makes at most one link for each line, however many documents share it.
+   the run, which makes at most two links for each line, however many documents share it.
 3. Each linked pair is aligned with patience diff: lines unique in both documents are anchors, the
    longest increasing sequence of anchors is kept, and matches grow to their equal neighbours
    line by line. Aligned blocks of ``block_words`` words or more are deleted from the later one.
 
 Every run of ``block_words`` words that occurs earlier in the corpus brings its document together
 with the first document that has it, so no repeated block is overlooked because it is frequent.
+Every line of a block that any earlier document has lies in the run from the block's first line on
+or in the run up to that line, so the result is that of a comparison with every earlier document.
 Runs whose lines all repeat inside one of the two documents have no unique anchor; there the run
 itself, unique or not, is the anchor.
 
@@ -86,10 +88,8 @@ def _line_slice(text: pa.Array) -> pa.Array:
 
 
 def runs_of(lines: np.ndarray, words: np.ndarray, first: np.ndarray, need: int):
-    """Hash, first line and end of the shortest run of ``need`` words from every line on.
-
-    The last words of a document, fewer than ``need``, belong to one more run: the shortest one
-    that has enough words and ends with the document, or all of a document that is shorter.
+    """Hash, first line and end of the shortest runs of ``need`` words from every line on and up to
+    every line, in order and each once. A document that is shorter is one run.
     """
     total = np.concatenate([[0], np.cumsum(words)])
     end = np.searchsorted(total, total[:-1] + need)
@@ -97,10 +97,16 @@ def runs_of(lines: np.ndarray, words: np.ndarray, first: np.ndarray, need: int):
     start = np.flatnonzero(end <= first[owner + 1])
     full = np.flatnonzero(np.diff(first))
     low, high = first[full], first[full + 1]
-    tail = np.searchsorted(total, np.maximum(total[high] - need, total[low]), "right") - 1
-    begins, stops = np.concatenate([start, tail]), np.concatenate([end[start], high])
+    short = total[high] - total[low] < need
+    last = np.flatnonzero(total[1:] - need >= total[first[owner]])
+    back = np.searchsorted(total, total[last + 1] - need, "right") - 1
+    begins = np.concatenate([start, back, low[short]])
+    stops = np.concatenate([end[start], last + 1, high[short]])
     order = np.lexsort((stops, begins))
     begins, stops = begins[order], stops[order]
+    fresh = np.ones(len(begins), bool)
+    fresh[1:] = (begins[1:] != begins[:-1]) | (stops[1:] != stops[:-1])
+    begins, stops = begins[fresh], stops[fresh]
     return mix(span_hashes(lines, begins, stops) + (stops - begins).astype(np.uint64)), begins, stops
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm import (
-    decontaminate, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, quality, urltree,
+    decontaminate, divergence, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, quality, urltree,
 )
 
 QUERIES = {}
@@ -138,3 +138,51 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("found").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licences"),
         F.array_max(F.transform("found", lambda x: x["dice"])).alias("best_dice"), "found",
     )
+
+
+@query
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms that set a source apart."""
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+ORACLE["op12_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), words AS (
+    SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT row_id) AS n_docs FROM words GROUP BY ALL
+), kept AS (
+    SELECT lang, term FROM counts GROUP BY ALL HAVING sum(n_docs) >= 30
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY ALL
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), own AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+    SELECT lang, source, term, n, 1 + (1000000000 * (n::HUGEINT + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p
+    FROM own JOIN sizes USING (lang)
+), whole AS (
+    SELECT lang, term, sum(n) AS n FROM own GROUP BY ALL
+), q AS (
+    SELECT lang, term, 1 + (1000000000 * (n::HUGEINT + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+    FROM whole JOIN sizes USING (lang)
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    UNION ALL
+    SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 50
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm import (
-    decontaminate, divergence, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, quality, urltree,
+    alignment, decontaminate, divergence, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, quality, urltree,
 )
 
 QUERIES = {}
@@ -15,10 +15,13 @@ ORACLE = {}
 MODEL_FILE = "piece_bpe_32k.model"
 
 
-def model_path() -> str:
+BYTE_FILE = "byte_bpe_50k.json"
+
+
+def model_path(name: str = MODEL_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(MODEL_FILE)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -140,6 +143,19 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenizers of every document, as counts and a digest."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    a, b = model_path(BYTE_FILE), model_path()
+    made = docs.select(F.struct("doc_id").alias("row"), alignment.aligned(a, b)(F.col("text")).alias("own"))
+    digest = F.when(F.col("own.n_a") == 0, "").otherwise(F.sha2(F.col("own.groups").cast("binary"), 256))
+    kept = [F.col(f"own.{f}").alias(f) for f in ("n_a", "n_b", "n_groups", "n_links", "links")]
+    found = alignment.with_strength(made.select("row", F.struct(*kept, digest.alias("groups_sha256")).alias("own")), a, b)
+    fields = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select("row.doc_id", *[f"own.{f}" for f in fields])
+
+
 @query
 def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Distances of the sources of each language, and the terms that set a source apart."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm import (
-    alignment, decontaminate, divergence, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, quality, urltree,
+    alignment, decontaminate, divergence, fingerprints, langid, licences, line_dedup, ngram_join, pieces, pii, ppm, quality, urltree,
 )
 
 QUERIES = {}
@@ -202,3 +202,13 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
 WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op13_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document, learned from those whose hash modulo 7 is not 2."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    docs = docs.withColumn("held_out", F.coalesce(out, F.lit(False)))
+    found = ppm.score_documents(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")

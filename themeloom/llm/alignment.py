@@ -90,11 +90,12 @@ class Aligner:
         ids_b = self.b.encode(spaced[1:]) if len(spaced) > 1 else self.lone
         return self.a.encode(spaced, add_special_tokens=False).ids, ids_b
 
-    def slices(self, ids_a: list[int], ids_b: list[int]) -> list[tuple[int, int, int]]:
-        """(end in bytes, tokens of A, tokens of B) up to each place where both end."""
+    def slices(self, ids_a: list[int], ids_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """Ends in bytes, tokens of A and tokens of B up to each place where both end."""
         end_a = dict(zip(np.cumsum(self.size_a[ids_a]).tolist(), range(1, len(ids_a) + 1)))
         end_b = dict(zip(np.cumsum(self.size_b[ids_b]).tolist(), range(1, len(ids_b) + 1)))
-        return [(end, end_a[end], end_b[end]) for end in sorted(end_a.keys() & end_b.keys())]
+        ends = sorted(end_a.keys() & end_b.keys())
+        return ends, [end_a[e] for e in ends], [end_b[e] for e in ends]
 
     def same_bytes(self, spaced: str, ids_a: list[int], ids_b: list[int]) -> bool:
         raw = spaced.encode()
@@ -106,22 +107,23 @@ class Aligner:
         ids_a, ids_b = self.encode(stretch)
         if not self.same_bytes(stretch, ids_a, ids_b):
             return None
-        edges = np.cumsum([len(c.encode()) for c in cuts]).tolist()
+        ends, to_a, to_b = self.slices(ids_a, ids_b)
         name_a, name_b = [self.written_a[i] for i in ids_a], [self.written_b[i] for i in ids_b]
-        out, groups, links, k = [], [], [], 0
-        at_a = at_b = from_a = from_b = 0
-        for end, to_a, to_b in self.slices(ids_a, ids_b):
-            # Tokens are not empty, so only the last ones of a slice end with it.
-            links.append(ids_a[to_a - 1] * self.n_b + ids_b[to_b - 1])
-            if to_a - at_a == 1 == to_b - at_b:
-                groups.append(f"{name_a[at_a]}|{name_b[at_b]}")
-            else:
-                groups.append(",".join(name_a[at_a:to_a]) + "|" + ",".join(name_b[at_b:to_b]))
-            at_a, at_b = to_a, to_b
-            if end == edges[k]:
-                out.append((at_a - from_a, at_b - from_b, len(groups), ";".join(groups), np.array(links, np.uint32).tobytes()))
-                groups, links, from_a, from_b, k = [], [], at_a, at_b, k + 1
-        return out if len(out) == len(cuts) else None
+        groups = [
+            f"{name_a[x]}|{name_b[y]}" if p - x == 1 == q - y else ",".join(name_a[x:p]) + "|" + ",".join(name_b[y:q])
+            for x, p, y, q in zip([0, *to_a], to_a, [0, *to_b], to_b)
+        ]
+        # Tokens are not empty, so only the last ones of a slice end with it.
+        last_a, last_b = np.array(ids_a)[np.array(to_a) - 1], np.array(ids_b)[np.array(to_b) - 1]
+        links = (last_a * self.n_b + last_b).astype(np.uint32).tobytes()
+        edges = np.cumsum([len(c.encode()) for c in cuts])
+        at = np.searchsorted(ends, edges)
+        if (np.append(ends, -1)[at] != edges).any():
+            return None
+        at = [0, *(at + 1).tolist()]
+        n_a = np.diff([0, *(to_a[g - 1] for g in at[1:])]).tolist()
+        n_b = np.diff([0, *(to_b[g - 1] for g in at[1:])]).tolist()
+        return [(x, y, ";".join(groups[g:h]), links[4 * g : 4 * h]) for x, y, g, h in zip(n_a, n_b, at, at[1:])]
 
     # --- many texts ----------------------------------------------------------------------------
 
@@ -146,25 +148,24 @@ class Aligner:
             self._new[cut] = found[0] if found else None
 
     def align(self, texts: list[str | None]) -> list[tuple]:
-        """(tokens of A, of B, groups, the groups as text, the links as packed ``a * n_b + b``) of every text."""
+        """(tokens of A, of B, the groups as text, the links as packed ``a * n_b + b``) of every text."""
         split = [(_CUT.split(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
         known, old = self._new, self._old
         fresh = []
-        for cut in {c for own in split for c in own}:
-            if cut not in known:
-                if cut in old:
-                    known[cut] = old[cut]
-                else:
-                    fresh.append(cut)
+        for cut in set().union(*split).difference(known):
+            if cut in old:
+                known[cut] = old[cut]
+            else:
+                fresh.append(cut)
         self._learn(fresh)
         out = []
         for own in split:
             found = [known[c] for c in own]
             if not found or None in found:
-                out.append((0, 0, 0, "", b""))
+                out.append((0, 0, "", b""))
             else:
-                n_a, n_b, n_groups, groups, links = zip(*found)
-                out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)))
+                n_a, n_b, groups, links = zip(*found)
+                out.append((sum(n_a), sum(n_b), ";".join(groups), b"".join(links)))
         for cut in fresh:
             if len(cut) > LONG:
                 del known[cut]
@@ -199,7 +200,9 @@ def aligned(path_a: str, path_b: str):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.large_string(), pa.binary())
 
     def make(texts: pa.Array) -> pa.Array:
-        rows = [(n_a, n_b, n, len(links) // 4, groups, links) for n_a, n_b, n, groups, links in aligner(path_a, path_b).align(texts.to_pylist())]
+        # A group has one link, since no token is empty.
+        made = aligner(path_a, path_b).align(texts.to_pylist())
+        rows = [(n_a, n_b, len(links) // 4, len(links) // 4, groups, links) for n_a, n_b, groups, links in made]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
         columns[4] = columns[4].cast(pa.string())
         return pa.StructArray.from_arrays(columns, ["n_a", "n_b", "n_groups", "n_links", "groups", "links"])

@@ -97,3 +97,64 @@ def same_partition(a, b):
         if (x < 0) != (y < 0) or names.setdefault(int(x), int(y)) != int(y):
             return False
     return len(set(names.values())) == len(names)
+
+
+def dendrogram(basins: list, merges: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and joining distances of the tree over births."""
+    n = len(basins)
+    index = {b: i for i, b in enumerate(basins)}
+    parent = np.full(max(2 * n - 1, 0), -1, dtype=np.int64)
+    top = np.full(len(parent), np.inf)
+    holder = np.arange(len(parent))
+
+    def find(i: int) -> int:
+        while holder[i] != i:
+            holder[i] = holder[holder[i]]
+            i = holder[i]
+        return i
+
+    for made, (w, a, b) in enumerate(sorted(merges), start=n):
+        for child in (find(index[a]), find(index[b])):
+            parent[child], top[child], holder[child] = made, w, made
+    return parent, top
+
+
+def select_clusters(
+    parent: np.ndarray, top: np.ndarray, direct: np.ndarray, density: np.ndarray, densest: np.ndarray, first: list
+) -> tuple[np.ndarray, np.ndarray]:
+    """Excess-of-mass selection: topic label and highest density per cluster. The root is never
+    selected. ``direct`` points leave each cluster themselves, with a ``density`` sum and a
+    ``densest`` one; ``first`` is the smallest of them. Topics count from 0 by falling size, then
+    by the smallest point."""
+    n = len(parent)
+    size, peak = direct.astype(np.float64).copy(), densest.copy()
+    mass = density.copy()
+    first = list(first)
+    kept = np.zeros(n)
+    chosen = np.zeros(n, dtype=bool)
+    below = np.zeros(n)
+    for c in range(n):  # children come before their parents
+        top_density = 0.0 if np.isinf(top[c]) else 1.0 / max(top[c], 1e-12)
+        own = mass[c] - size[c] * top_density
+        is_root = parent[c] < 0
+        if not is_root and own >= below[c]:
+            chosen[c], kept[c] = True, own
+        else:
+            kept[c] = below[c]
+        if not is_root:
+            p = parent[c]
+            below[p] += kept[c]
+            mass[p] += size[c] * top_density
+            size[p] += size[c]
+            peak[p] = max(peak[p], peak[c])
+            first[p] = min((x for x in (first[p], first[c]) if x is not None), default=None)
+    owner = np.full(n, -1, dtype=np.int64)
+    for c in range(n - 1, -1, -1):  # parents before children: the highest selected one wins
+        above = owner[parent[c]] if parent[c] >= 0 else -1
+        owner[c] = above if above >= 0 else (c if chosen[c] else -1)
+    # A cluster born at the very distance at which it merges holds no points and gets no topic.
+    winners = sorted({int(o) for o in owner if o >= 0 and size[o] > 0}, key=lambda c: (-size[c], first[c]))
+    topic = {c: i for i, c in enumerate(winners)}
+    label = np.array([topic.get(o, -1) for o in owner], dtype=np.int64)
+    max_lambda = np.array([peak[o] if o >= 0 else 0.0 for o in owner])
+    return label, max_lambda

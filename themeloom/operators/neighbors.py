@@ -144,11 +144,12 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def build_cells(
-    points: DataFrame, order_by: str, work: Workspace, n_points: int, name: str = "cells", most: int = MAX_CELLS
+    points: DataFrame, order_by: str, work: Workspace, n_points: int, name: str = "cells", most: int = MAX_CELLS,
+    block_rows: int = BLOCK_ROWS, seed: int = 7,
 ) -> Cells:
     """Pivots are points picked by hash order; their number grows with the table up to a bound."""
-    n_cells = int(min(most, max(1, -(-n_points // BLOCK_ROWS) * 4)))
-    picked = sample_rows(points, n_cells, seed=7, id_col=order_by, n_rows=n_points)
+    n_cells = int(min(most, max(1, -(-n_points // block_rows) * 4)))
+    picked = sample_rows(points, n_cells, seed=seed, id_col=order_by, n_rows=n_points)
     pivots = np.array([r["embedding"] for r in picked.select("embedding").collect()], dtype=np.float64)
     placed = work.save(_with_cell(points, pivots), name)
     sizes, radii = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
@@ -345,10 +346,13 @@ def knn_join(
         vec = F.col("embedding")
         return df.select("id", (l2_normalize(vec) if metric == "cosine" else as_double(vec)).alias("embedding"))
 
+    def search(queries: DataFrame, points: DataFrame) -> DataFrame:
+        return _euclidean_join(queries, points, k, exclude_self, matrix_limit, block_rows, probes)
+
     queries, points = ready(queries), ready(points)
     if metric == "cosine":
-        return _cosine_join(queries, points, k, exclude_self, matrix_limit, block_rows, probes)
-    return _euclidean_join(queries, points, k, exclude_self, matrix_limit, block_rows, probes)
+        return cosine_join(queries, points, k, exclude_self, search)
+    return search(queries, points)
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -358,14 +362,14 @@ def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     return joined.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.countDistinct("query_id").alias("n"))
 
 
-def _cosine_join(
-    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int, probes: int | None
+def cosine_join(
+    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, search: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> DataFrame:
-    """Unit vectors by half their squared distance. A zero vector has no direction: its cosine
+    """Unit vectors by half their squared distance, which ``search`` finds. A zero vector has no direction: its cosine
     to anything is 0, so it stays out of the search and is merged at distance 1."""
     zero = ~F.exists("embedding", lambda x: x != 0)
     reach = k + 1 if exclude_self else k
-    near = _euclidean_join(queries.filter(~zero), points.filter(~zero), k, exclude_self, matrix_limit, block_rows, probes)
+    near = search(queries.filter(~zero), points.filter(~zero))
     near = near.withColumn("distance", F.col("distance") * F.col("distance") / 2)
 
     def first(rows: DataFrame) -> list:

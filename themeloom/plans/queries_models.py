@@ -143,15 +143,14 @@ run_topics AS (
 RUN_OPTIONS = {**OPTIONS, "pca_n_components": 9}
 
 
-@query(
-    "topic_model_rows",
-    """SELECT v.id, r.topic_id, 'corpus' AS source, 'embedding' AS topic_source FROM fitted v JOIN run_topics r USING (label)
+RUN_ROWS = """SELECT v.id, r.topic_id, 'corpus' AS source, 'embedding' AS topic_source FROM fitted v JOIN run_topics r USING (label)
     UNION ALL SELECT v.id, r.topic_id, 'keypaper', 'projected' FROM vectors v JOIN run_topics r USING (label)
       JOIN labels l ON CAST(l.doc_id AS VARCHAR) = v.id WHERE l.quality = 1
     UNION ALL SELECT v.id, r.topic_id, 'corpus', 'fallback' FROM vectors v JOIN run_topics r USING (label)
-      WHERE v.id NOT IN (SELECT id FROM fitted)""",
-    (VECTORS, TEXTS, RUN_TOPICS),
-)
+      WHERE v.id NOT IN (SELECT id FROM fitted)"""
+
+
+@query("topic_model_rows", RUN_ROWS, (VECTORS, TEXTS, RUN_TOPICS))
 def topic_model_rows(spark, folder):
     """Every row of a whole run through layout and clusters, against the planted labels."""
     corpus, text, references, everything = run_inputs(spark, folder)
@@ -159,6 +158,14 @@ def topic_model_rows(spark, folder):
     return tables["topics"].select("id", "topic_id", "source", "topic_source")
 
 
+@query("topic_model_graph", RUN_ROWS, (VECTORS, TEXTS, RUN_TOPICS))
+def topic_model_graph(spark, folder):
+    """The same run with neighbours from refined graphs."""
+    corpus, text, references, everything = run_inputs(spark, folder)
+    tables = run_topic_model(corpus, text, references, {**RUN_OPTIONS, "knn_search": "graph"}, everything, "test", "run1")
+    return tables["topics"].select("id", "topic_id", "source", "topic_source")
+
+
 @query(
     "project_new_rows",
     "SELECT CAST(vec_id AS VARCHAR) AS id, 'keypaper' AS source, topic_id, 'projected' AS topic_source "

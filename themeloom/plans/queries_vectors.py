@@ -10,6 +10,7 @@ from themeloom.functions.vectors import (
 from themeloom.lineage import Workspace
 from themeloom.operators import preprocess
 from themeloom.operators.concepts import label_coverage, nearest_concept, supervised_labels
+from themeloom.operators.graph import knn_graph
 from themeloom.operators.neighbors import knn_join, recall_of
 from themeloom.plans.inputs import (
     CONCEPTS, CORPUS, PRIMARY, TEXTS, VECTORS, concepts, corpus, planted, primary, table, vectors,
@@ -330,6 +331,19 @@ def knn_recall(spark, folder):
     return recall.select("n", (F.col("recall") >= 0.95).alias("enough"))
 
 
+@query("knn_graph_recall", "SELECT count(*) AS n, true AS enough, true AS distances_equal FROM embeddings")
+def knn_graph_recall(spark, folder):
+    """A refined graph over the raw vectors, begun from 64 cells or more, has nine of ten true neighbours at least,
+    and what it has is at its true distance."""
+    rows = Workspace(spark, "recall").save(points(spark, folder), "rows")
+    exact = knn_join(rows, rows, 5, exclude_self=True)
+    found = Workspace(spark, "recall").save(knn_graph(rows, 5, block_rows=32), "graph")
+    both = exact.join(found.withColumnRenamed("distance", "d"), ["query_id", "neighbor_id"])
+    equal = both.agg(F.coalesce(F.bool_and(F.col("distance") == F.col("d")), F.lit(True)).alias("distances_equal"))
+    recall = recall_of(found, exact).select("n", (F.col("recall") >= 0.9).alias("enough"))
+    return recall.withColumn("distances_equal", F.lit(equal.first()[0]))
+
+
 ZERO_KNN = """zero_pairs AS (
   SELECT a.id AS query_id, b.id AS neighbor_id, CASE WHEN a.label = 9 OR b.label = 9 THEN 1.0
     ELSE list_cosine_distance(a.embedding, b.embedding) END AS distance

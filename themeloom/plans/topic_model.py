@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from themeloom.lineage import Workspace
 from themeloom.operators import preprocess, terms, topics
 from themeloom.operators.concepts import supervised_labels
 from themeloom.operators.dedup import fallback_minus_primary
-from themeloom.operators.density import DensityModel, Tree, fit_hdbscan, predict_hdbscan
+from themeloom.operators.density import DensityModel, fit_hdbscan, predict_hdbscan
 from themeloom.operators.manifold import ManifoldModel, fit_manifold, transform_manifold
 from themeloom.plans import config
 from themeloom.sources.stages import data_fingerprint, stage_cache, write_results
@@ -87,27 +86,11 @@ def fit_layout(
     layout = fit_manifold(
         preprocess.apply_preprocessing(corpus, mean, pca), int(options["umap_n_components"]),
         int(options["umap_n_neighbors"]), float(options["umap_min_dist"]), str(options["umap_metric"]), seed,
-        labels, float(options["target_weight"]),
+        labels, float(options["target_weight"]), search=str(options["knn_search"]),
     )
     return mean, pca, layout
 
 
-def _tree_table(spark: SparkSession, tree: Tree) -> DataFrame:
-    rows = [
-        (i, int(tree.parent[i]), float(tree.top[i]), int(tree.label[i]), float(tree.max_lambda[i]))
-        for i in range(len(tree.parent))
-    ]
-    return spark.createDataFrame(rows, "cluster int, parent int, top double, topic_id long, max_lambda double")
-
-
-def _tree_of(table: DataFrame) -> Tree:
-    rows = table.orderBy("cluster").collect()  # at most two per birth: points / minimum size
-    return Tree(
-        [], np.array([r["parent"] for r in rows], dtype=np.int64), np.array([r["top"] for r in rows]),
-        np.array([r["topic_id"] for r in rows], dtype=np.int64), np.array([r["max_lambda"] for r in rows]),
-    )
-
-
 def run_topic_model(
     corpus: DataFrame,
     text: DataFrame,
@@ -159,13 +142,13 @@ def run_topic_model(
     min_samples = int(options["hdbscan_min_samples"])
 
     def build_clusters() -> dict[str, DataFrame]:
-        model = fit_hdbscan(layout.coords, int(options["hdbscan_min_cluster_size"]), min_samples)
-        return {"topics": model.labels, "points": model.points, "tree": _tree_table(spark, model.tree)}
+        model = fit_hdbscan(layout.coords, int(options["hdbscan_min_cluster_size"]), min_samples, search=str(options["knn_search"]))
+        return {"topics": model.labels, "points": model.points, "tree": model.tree}
 
     clusters = stage_cache(
         spark, cluster_path, "hdbscan", subset(config.CLUSTERS), ("topics", "points", "tree"), build_clusters
     )
-    density = DensityModel(clusters["topics"], clusters["points"], _tree_of(clusters["tree"]), min_samples)
+    density = DensityModel(clusters["topics"], clusters["points"], clusters["tree"], min_samples)
     models = FittedModels(list(mean_row["mean"]) if mean_row else None, pca, layout, density)
     fitted = density.labels.select(
         "id", "topic_id", F.lit("embedding").alias("topic_source"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from themeloom.lineage import Workspace
 from themeloom.llm import decontaminate, line_dedup, ngram_join, quality
 from themeloom.llm.queries import piece_digests
+from themeloom.llm.tokens import free_names
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +23,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks are cut; documents of which nothing is left go. ``n_chars`` follows the text."""
-    cut = line_dedup.line_dedup(docs, removed="_n_removed")
-    kept = cut.filter("_n_removed = 0 OR length(trim(text)) > 0")
-    kept = kept.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    (removed,) = free_names(["_n_removed"], docs.columns)
+    cut = line_dedup.line_dedup(docs, removed=removed)
+    was_cut = F.col(removed) > 0
+    kept = cut.filter(~was_cut | (F.length(F.trim("text")) > 0))
+    kept = kept.withColumn("n_chars", F.when(was_cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near copies stays."""
-    classes = Workspace(spark, "near-copies").save(ngram_join.near_copies(docs).drop("key"), "classes")
-    first = classes.filter("class_rows = 1 OR doc_id <=> class_id").select("doc_id").dropDuplicates()
-    kept = first.withColumnRenamed("doc_id", "_kept")
-    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    # Where ids repeat, as in repeated rows, one row of each id and text stays.
-    if classes.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    return out.select(docs.columns)
+    """One row of each class of near copies stays: that of the smallest id, of its texts the one of the smallest digest.
+
+    Rows are told apart by id and text, as ids may be null or repeat; of repeated rows one stays. Rows without an
+    id come after all others. Rows without words are in no class and stay.
+    """
+    found = Workspace(spark, "near-copies").save(
+        ngram_join.near_copies(docs).select("doc_id", "key", "class_key", "text_hash"), "classes"
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "text_hash")
+    heads = found.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min(order).alias("head"))
+    stay = heads.select("head.doc_id", "head.text_hash").unionByName(
+        found.filter("class_key IS NULL").select("doc_id", "text_hash").distinct()
+    )
+    one, two = free_names(["_row_1", "_row_2"], docs.columns)
+
+    def row_keys(df: DataFrame, text_hash) -> DataFrame:
+        parts = (F.col("doc_id").isNull(), F.col("doc_id"), text_hash)
+        return df.withColumns({one: F.xxhash64(F.lit(1), *parts), two: F.xxhash64(F.lit(2), *parts)})
+
+    # Both steps deal the rows by the same two keys, so texts move once.
+    named = row_keys(stay, F.col("text_hash")).select(one, two).hint("shuffle_hash")
+    kept = row_keys(docs, F.xxhash64("text")).join(named, [one, two], "left_semi")
+    return kept.dropDuplicates([one, two]).select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line dedup against a brute-force version of its rule."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +18,25 @@ def documents_of(texts):
     ]
 
 
+def rare_lines(rows):
+    """Codes of the lines of 8 words or more that 2 to 10 rows have."""
+    count = Counter()
+    for own, words, *_ in documents_of([t for _, t in rows]):
+        count.update({c for c, n in zip(ld.line_codes(own).tolist(), words) if n >= 8} if len(own) else ())
+    return np.array([c for c, n in count.items() if 2 <= n <= 10], np.uint64)
+
+
 def brute(rows, need):
     """Every document against every earlier one."""
     docs = documents_of([t for _, t in rows])
-    out = []
+    out, rare = [], rare_lines(rows)
     for k, (i, text) in enumerate(rows):
         own, words, at, n = docs[k]
         gone = np.zeros(len(own), bool)
         for m, (j, _) in enumerate(rows):
             earlier = j is not None and (i is None or j < i)
             if earlier and len(own) and len(docs[m][0]):
-                gone |= ld.common_lines(own, words, docs[m][0], docs[m][1], need)
+                gone |= ld.common_lines(own, words, docs[m][0], docs[m][1], need, rare)
         edges = [0, *at[1:].tolist(), n] if len(own) else [0, n]
         out.append("".join(text[a:b] for a, b, g in zip(edges, edges[1:], gone if len(own) else [False]) if not g) if text is not None else None)
     return out
@@ -104,6 +113,47 @@ def test_odd_rows(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_no_rare_line_is_left(spark):
+    """Of the lines of 8 to 24 words that 2 to 10 documents share, only the first document keeps its own."""
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    before = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    after = sorted((r["doc_id"], r["text"]) for r in queries.op1_line_dedup(spark, "/root/testdata/sf0.01").collect())
+    rare = rare_lines(before)
+
+    def shared(rows):
+        count = Counter()
+        for own, *_ in documents_of([t for _, t in rows]):
+            if len(own):
+                count.update(set(ld.line_codes(own).tolist()) & known)
+        return count
+
+    known = set(rare.tolist())
+    assert len(known) > 100 and max(shared(before).values()) > 1
+    assert max(shared(after).values()) == 1
+
+
+def test_rare_lines_bring_documents_together(spark):
+    rng = random.Random(1)
+    rare = "one two three four five six seven eight nine."
+    short = "a short line of six words."
+    rows = [(i, "\n".join([*lines(rng, 3), *([rare, short] if i in (2, 5, 7) else []), *lines(rng, 2)])) for i in range(9)]
+    common = "this line is in every one of the documents here."
+    rows += [(20 + i, f"{common}\nown{i} text.") for i in range(11)]
+    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows, ld.BLOCK_WORDS)
+    assert rare in got[2] and short in got[2]
+    assert all(rare not in got[i] and short not in got[i] for i in (5, 7))
+    assert all(common in got[20 + i] for i in range(11))  # in more than ten documents: not rare
+
+
+def test_clashing_columns(spark):
+    names = ("_gone_id", "_gone_h", "_gone_spans", "_cut", "id", "h", "spans", "l", "owner", "rare", "run", "later", "n")
+    docs = spark.createDataFrame([(i, t) for i, t in planted()], "doc_id long, text string")
+    plain = {r["doc_id"]: r["text"] for r in ld.line_dedup(docs).collect()}
+    for r in ld.line_dedup(docs.selectExpr("*", *[f"'odd' AS {c}" for c in names])).collect():
+        assert r["text"] == plain[r["doc_id"]] and all(r[c] == "odd" for c in names)
+
+
 def test_empty_table(spark):
     assert ld.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -82,6 +82,21 @@ def test_stages_keep_columns_and_rows_that_are_clean(spark, planted):
     assert 10_001 not in {r["doc_id"] for r in cut.select("doc_id").collect()}
 
 
+def test_one_of_each_class_stays_whatever_the_ids(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    near, b = a + " more", " ".join(f"b{i}" for i in range(60))
+    c, near_c = b.replace("b", "c"), b.replace("b", "c") + " more"
+    rows = [(1, a), (2, near), (2, b), (3, b), (None, c), (None, near_c), (None, c), (4, None), (4, None), (5, "..."), (6, "..."), (None, "")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
+    docs = docs.selectExpr("*", "1 AS class_key", "2 AS text_hash", "3 AS _row_1", "4 AS h", "5 AS id", "6 AS size", "7 AS component")
+    out = corpus_pipeline.near_copy_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len([t for i, t in got if i is None and t in (c, near_c)]) == 1
+    rest = [r for r in got if r[0] is not None or r[1] not in (c, near_c)]
+    assert sorted(rest, key=str) == sorted([(1, a), (2, b), (4, None), (5, "..."), (6, "..."), (None, "")], key=str)
+
+
 def test_entry_without_the_operators(tmp_path):
     """The rest imports and registers its queries when this subpackage and the pipeline are gone."""
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))

@@ -5,13 +5,15 @@ lower case. Documents are ordered by id; a block of lines that an earlier docume
 deleted from the later one.
 
 1. One pass stores the line hashes, word counts and places of every document.
-2. Documents meet through shared rare runs: the shortest runs of lines from each line on and up to
-   each line that have ``block_words`` words (or all of a document that is shorter), so that short
-   common lines alone bring nobody together. Each run links a document to the first one that has
-   the run, which makes at most two links for each line, however many documents share it.
+2. Documents meet through shared rare lines: lines of ``RARE_WORDS`` words or more that 2 to ``RARE_DOCS`` rows
+   have, counted over all rows. They meet also through runs: the shortest runs of lines from each line on and up to
+   each line that have ``block_words`` words (or all of a document that is shorter), however many
+   documents share them. A rare line or run links a document to the first one that has it, which makes at most
+   three links for each line.
 3. Each linked pair is aligned with patience diff: lines unique in both documents are anchors, the
    longest increasing sequence of anchors is kept, and matches grow to their equal neighbours
-   line by line. Aligned blocks of ``block_words`` words or more are deleted from the later one.
+   line by line. Aligned blocks that hold a rare line, or of ``block_words`` words or more, are deleted from the
+   later one. A rare line that the alignment leaves, as it moved or repeats, is a block of its own.
 
 Every run of ``block_words`` words that occurs earlier in the corpus brings its document together
 with the first document that has it, so no repeated block is overlooked because it is frequent.
@@ -36,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.lineage import Workspace
-from themeloom.llm.tokens import batch_udf, lists, mix, span_hashes, text_bytes, words_of
+from themeloom.llm.tokens import batch_udf, free_names, lists, mix, span_hashes, text_bytes, words_of
 
 BLOCK_WORDS = 25
+RARE_WORDS = 8
+RARE_DOCS = 10
 
 LINES = "struct<lines: array<bigint>, words: array<int>, at: array<int>, n_chars: int>"
 
@@ -107,16 +111,27 @@ def runs_of(lines: np.ndarray, words: np.ndarray, first: np.ndarray, need: int):
     fresh = np.ones(len(begins), bool)
     fresh[1:] = (begins[1:] != begins[:-1]) | (stops[1:] != stops[:-1])
     begins, stops = begins[fresh], stops[fresh]
-    return mix(span_hashes(lines, begins, stops) + (stops - begins).astype(np.uint64)), begins, stops
+    return mix(span_hashes(lines, begins, stops) + (stops - begins).astype(np.uint64)) & ~np.uint64(1), begins, stops
+
+
+def line_codes(lines: np.ndarray) -> np.ndarray:
+    """Codes of single lines beside the even ones of runs."""
+    return mix(lines) | np.uint64(1)
 
 
 def _run_maker(need: int):
     def runs(lines: pa.Array, words: pa.Array) -> pa.Array:
         flat = lines.flatten().to_numpy().view(np.uint64)
         first = np.concatenate([[0], np.cumsum(lines.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
-        hashes, begins, _ = runs_of(flat, words.flatten().to_numpy().astype(np.int64), first, need)
+        sizes = words.flatten().to_numpy().astype(np.int64)
+        hashes, begins, _ = runs_of(flat, sizes, first, need)
         made = np.searchsorted(begins, first)
-        parts = [np.unique(hashes[a:b]) for a, b in zip(made[:-1], made[1:])]
+        long = np.flatnonzero(sizes >= RARE_WORDS)
+        codes, own = line_codes(flat[long]), np.searchsorted(long, first)
+        parts = [
+            np.unique(np.concatenate([hashes[a:b], codes[c:d]]))
+            for a, b, c, d in zip(made[:-1], made[1:], own[:-1], own[1:])
+        ]
         sizes = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return lists((np.concatenate(parts) if parts else hashes).view(np.int64), sizes, pa.int64())
 
@@ -149,10 +164,12 @@ def patience(later: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int]]:
 
 
 def common_lines(
-    later: np.ndarray, later_words: np.ndarray, earlier: np.ndarray, earlier_words: np.ndarray, need: int
+    later: np.ndarray, later_words: np.ndarray, earlier: np.ndarray, earlier_words: np.ndarray, need: int,
+    rare: np.ndarray = np.zeros(0, np.uint64),
 ) -> np.ndarray:
-    """Which lines of ``later`` lie in blocks of ``need`` words that ``earlier`` has too."""
+    """Which lines of ``later`` lie in blocks of ``need`` words, or with a line among the codes ``rare``, that ``earlier`` has too."""
     gone = np.zeros(len(later), bool)
+    is_rare = np.isin(line_codes(later), rare) if len(rare) else gone.copy()
     if len(later) == len(earlier) and (later == earlier).all():
         return ~gone
     done = -1
@@ -165,26 +182,28 @@ def common_lines(
         while i + b < len(later) and j + b < len(earlier) and later[i + b] == earlier[j + b]:
             b += 1
         done = i + b - 1
-        if later_words[i - a : i + b].sum() >= need:
+        if later_words[i - a : i + b].sum() >= need or is_rare[i - a : i + b].any():
             gone[i - a : i + b] = True
     # Runs without a unique line, or moved: each is its own anchor.
     own, begins, stops = runs_of(later, later_words, np.array([0, len(later)]), need)
     known, *_ = runs_of(earlier, earlier_words, np.array([0, len(earlier)]), need)
     for k in np.flatnonzero(np.isin(own, known)):
         gone[begins[k] : stops[k]] = True
+    if is_rare.any():
+        gone |= is_rare & np.isin(later, earlier)
     return gone
 
 
 def _aligner(need: int):
     def align(
-        lines: pa.Array, words: pa.Array, at: pa.Array, n_chars: pa.Array, other: pa.Array, other_words: pa.Array
+        lines: pa.Array, words: pa.Array, at: pa.Array, n_chars: pa.Array, other: pa.Array, other_words: pa.Array, rare: pa.Array
     ) -> pa.Array:
         out = []
         for k in range(len(lines)):
-            own, own_words, theirs, their_words = (
-                x[k].values.to_numpy() for x in (lines, words, other, other_words)
+            own, own_words, theirs, their_words, codes = (
+                x[k].values.to_numpy() for x in (lines, words, other, other_words, rare)
             )
-            gone = common_lines(own.view(np.uint64), own_words, theirs.view(np.uint64), their_words, need)
+            gone = common_lines(own.view(np.uint64), own_words, theirs.view(np.uint64), their_words, need, codes.view(np.uint64))
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             place = np.append(at[k].values.to_numpy(), n_chars[k].as_py())
             out.append([{"s": int(place[a]) if a else 0, "e": int(place[b])} for a, b in zip(edges[::2], edges[1::2])])
@@ -219,15 +238,18 @@ def removed_spans(
         "lines",
     )
     runs = lines.select("id", F.explode(_run_maker(block_words)("lines", "words")).alias("run"))
-    owners = runs.groupBy("run").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    pairs = work.save(
-        runs.join(owners, "run").filter("owner IS NOT NULL AND NOT (id <=> owner)").select("id", "owner").distinct(), "pairs"
+    owners = runs.groupBy("run").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter(
+        f"n > 1 AND (run & 1 = 0 OR n <= {RARE_DOCS})"
     )
+    # Of a pair, the codes of its rare lines: no more than the later document has lines.
+    rare = F.collect_set(F.when(F.col("run").bitwiseAND(F.lit(1)) == 1, F.col("run"))).alias("rare")
+    linked = runs.join(owners, "run").filter("owner IS NOT NULL AND NOT (id <=> owner)")
+    pairs = work.save(linked.groupBy("id", "owner").agg(rare), "pairs")
     other = lines.select(F.col("id").alias("owner"), F.col("lines").alias("other"), F.col("words").alias("other_words"))
-    keyed = pairs.select(F.col("id").alias("later"), "owner")
+    keyed = pairs.select(F.col("id").alias("later"), "owner", "rare")
     met = lines.join(keyed, lines["id"].eqNullSafe(keyed["later"])).drop("later").join(other, "owner")
     spans = met.select(
-        "id", "h", _aligner(block_words)("lines", "words", "at", "n_chars", "other", "other_words").alias("spans")
+        "id", "h", _aligner(block_words)("lines", "words", "at", "n_chars", "other", "other_words", "rare").alias("spans")
     )
     return spans.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")).filter(F.size("spans") > 0)
 
@@ -236,16 +258,16 @@ def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, removed: str = "n_removed"
 ) -> DataFrame:
     """``docs`` with repeated blocks cut out of ``text`` and the number of characters cut in ``removed``."""
+    gone_id, gone_h, gone_spans, new = free_names(["_gone_id", "_gone_h", "_gone_spans", "_cut"], [*docs.columns, removed])
     gone = removed_spans(docs, id_col, text, block_words).select(
-        F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("spans").alias("_gone_spans")
+        F.col("id").alias(gone_id), F.col("h").alias(gone_h), F.col("spans").alias(gone_spans)
     )
     # The spans are far smaller than the texts: a hash table of them saves sorting the texts.
     joined = docs.join(
-        gone.hint("shuffle_hash"),
-        docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_h"]), "left",
+        gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone[gone_id]) & (F.xxhash64(docs[text]) == gone[gone_h]), "left"
     )
-    cut = F.when(F.col("_gone_spans").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone_spans")))
+    cut = F.when(F.col(gone_spans).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(gone_spans)))
     before = F.coalesce(F.length(text), F.lit(0))
-    out = joined.withColumn("_cut", cut).withColumn(removed, before - F.coalesce(F.length("_cut"), F.lit(0)))
+    out = joined.withColumn(new, cut).withColumn(removed, before - F.coalesce(F.length(new), F.lit(0)))
     names = [c for c in docs.columns if c != removed]
-    return out.select(*[F.col("_cut").alias(c) if c == text else F.col(c) for c in names], removed)
+    return out.select(*[F.col(new).alias(c) if c == text else F.col(c) for c in names], removed)

@@ -189,12 +189,13 @@ def near_copies(
     rows: int = ROWS, recall: float = RECALL,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``class_id``, ``class_rows``, ``n_links`` (rows of other
-    or equal texts that reach the threshold) and ``key``, the digest of its n-gram set."""
+    or equal texts that reach the threshold), ``key``, the digest of its n-gram set, ``class_key``, the same for all
+    rows of a class and null for a text without words, and ``text_hash``."""
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
     bands = bands_for(threshold, rows, recall)
-    signed = docs.select(F.col(id_col).alias("id"), _signer(n, bands, rows)(F.col(text)).alias("s"))
-    signed = work.save(signed.select("id", "s.key", "s.size", "s.bands"), "signed")
+    signed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), _signer(n, bands, rows)(F.col(text)).alias("s"))
+    signed = work.save(signed.select("id", "h", "s.key", "s.size", "s.bands"), "signed")
     classes = work.save(
         signed.filter("size > 0").groupBy("key").agg(
             F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"),
@@ -245,13 +246,14 @@ def near_copies(
     named = joined.withColumnRenamed("node", "key").join(classes.select("key", "first_id", "copies"), "key")
     totals = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))
     known = classes.select("key", "first_id", "copies").join(
-        named.select("key", "component").join(totals, "component").drop("component").join(degree, "key"), "key", "left"
+        named.select("key", "component").join(totals, "component").join(degree, "key"), "key", "left"
     ).select(
+        F.coalesce("component", "key").alias("class_key"),
         "key", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_rows", "copies").alias("class_rows"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.lit(True).alias("known"),
     )
-    return signed.select("id", "size", "key").join(known, "key", "left").select(
+    return signed.select("id", "h", "size", "key").join(known, "key", "left").select(
         F.col("id").alias(id_col), F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key", "class_key", F.col("h").alias("text_hash"),
     )

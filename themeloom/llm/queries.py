@@ -100,7 +100,7 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near copies and number of links of every document."""
-    return ngram_join.near_copies(table(spark, folder, "documents")).drop("key")
+    return ngram_join.near_copies(table(spark, folder, "documents")).drop("key", "class_key", "text_hash")
 
 
 @query

@@ -71,6 +71,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, with underscores before those that a column has already, in any case of letters."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def in_slices(limit: int, make, *columns: pa.Array) -> pa.Array:
     """``make(*columns)`` over slices of about ``limit`` bytes of the first column (texts or lists), joined.
 

@@ -35,6 +35,30 @@ def root(spark, tmp_path):
     return f"{tmp_path}/config=c/corpus"
 
 
+def test_log_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files of several splits, with empty lines, both line breaks and texts beyond ASCII."""
+    texts = {
+        "a.log": "\n".join(f"line {i} é" + "x" * (i % 37) for i in range(300)) + "\n", "b.log": "one\r\n\r\nthree\n\n\nsix",
+        "c.log": "", "d.log": "y" * 5000 + "\n" + "z\n" * 50,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = set()
+    for name, text in texts.items():
+        lines = text.replace("\r\n", "\n").split("\n")
+        want |= {(name, i, x) for i, x in enumerate(lines[:-1] if lines[-1] == "" else lines)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("512", old["spark.sql.files.maxPartitionBytes"]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = logs.read_resource_log(spark, str(tmp_path)).collect()
+            assert len(rows) == len(want) and {(r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in rows} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_variant_readers(spark, root):
     assert "chapter" not in variants.read_variant(spark, root, "v").columns
     got = {r["id"]: r["embedding"] for r in variants.read_embeddings_only(spark, root, "v").collect()}

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from themeloom.functions.binding import bind
@@ -280,8 +280,15 @@ def classify(
     return run(premises, labels, scorer, options.get("template", HYPOTHESIS_TEMPLATE), length)
 
 
+def save_scored(results: DataFrame, path: str) -> DataFrame:
+    """Writes classified sequences to ``path`` and returns one row with their number, counted as they are written."""
+    seen = Observation("scored")
+    results.observe(seen, F.count(F.lit(1)).alias("sequences")).write.mode("overwrite").parquet(path)
+    return results.sparkSession.createDataFrame([(seen.get["sequences"],)], "sequences long")
+
+
 def sequences_scored(results: DataFrame) -> DataFrame:
-    """One row with the number of classified sequences."""
+    """One row with the number of classified sequences, of results that aren't kept."""
     return results.agg(F.count("*").alias("sequences"))
 
 

@@ -141,6 +141,7 @@ def ctfidf(
     max_features: int = MAX_FEATURES,
     stop_words: Sequence[str] = ENGLISH,
     require_topics: bool = False,
+    boundary_ngrams: bool = False,
 ) -> DataFrame:
     """``(topic_id, term, tf, weight)``: tf * (ln((1+n)/(1+df)) + 1), unit length per topic.
 
@@ -148,11 +149,15 @@ def ctfidf(
     empty. The rule is part of the plan: the number of topics and the number of kept terms are
     scalar subqueries over the term counts, whose shuffle is planned once and reused. The
     vocabulary has at most ``max_features`` rows, which bounds its broadcast. With
-    ``require_topics`` an input without topics raises before any work.
+    ``require_topics`` an input without topics raises before any work. ``boundary_ngrams`` counts the
+    bigrams between the documents of a topic too.
     """
     if require_topics and docs.isEmpty():
         guard_vectorizer(0)
     counted = _count_terms(docs, ngram, stop_words)
+    if boundary_ngrams and ngram[0] <= 2 <= ngram[1]:
+        both = counted.unionByName(boundary_bigrams(docs, stop_words))
+        counted = both.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
     n = counted.agg(F.countDistinct(F.when(F.col("tf") >= 0, F.col("topic_id")))).scalar()
     counts = counted.filter("tf > 0")
     infeasible = (n < min_df) | (F.lit(max_df) * n < min_df)

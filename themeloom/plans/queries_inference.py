@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import normalize_label, truncate_pair
+from themeloom.lineage import Workspace
 from themeloom.operators import inference
 from themeloom.plans.inputs import table
 from themeloom.plans.queries_vectors import long_form
@@ -163,7 +164,7 @@ def batches(spark, folder):
 @query("sequences_scored", "SELECT count(*) AS sequences FROM documents")
 def scored(spark, folder):
     results = inference.classify_zero_shot(premises(spark, folder), LABELS, inference.LexicalScorer(), CLAIM)
-    return inference.sequences_scored(results)
+    return inference.save_scored(results, f"{Workspace(spark, 'scored').root}/results")
 
 
 @query(

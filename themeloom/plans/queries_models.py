@@ -234,6 +234,18 @@ def stream_heartbeat(spark, folder):
     )
 
 
+@query(
+    "stream_sessions",
+    "SELECT * FROM sessions WHERE idle_at <= (SELECT date_trunc('millisecond', max(ts)) FROM events)",
+    (SESSIONS,),
+)
+def stream_sessions(spark, folder):
+    """Runs that have ended; the beats arrive in order, in three parts."""
+    work = Workspace(spark, "stream")
+    beats = work.save(table(spark, folder, "events").select(F.col("user_id").cast("string").alias("host"), "ts"), "beats")
+    return drain_in_parts(beats, work, "arriving", lambda rows: live.stream_sessions(rows, 720, "0 seconds"), "sessions")
+
+
 @query(
     "stream_resource_series",
     """SELECT file, floor(minutes / 1440.0) * 1440.0 AS window_start, count(*) AS n, round(avg(cpu), 6) AS cpu,

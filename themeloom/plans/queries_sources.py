@@ -126,14 +126,12 @@ def results(spark, folder):
     "log_files",
     """SELECT lang, line_no, md5(line) AS line FROM (
       SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line_no, replace(replace(text, chr(10), ' '), chr(13), ' ') AS line
-      FROM (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)))""",
+      FROM documents) WHERE line <> ''""",
 )
 def log_files(spark, folder):
-    """One log for each language; the newest file is found by its metadata."""
+    """One log of whole texts for each language, read back in splits; the newest file is found by its metadata."""
     work = Workspace(spark, "logs")
-    docs = table(spark, folder, "documents").join(
-        table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi"
-    )
+    docs = table(spark, folder, "documents")
     line = F.regexp_replace(F.regexp_replace("text", "\n", " "), "\r", " ")
     rows = docs.select("lang", "doc_id", line.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
     rows.select("lang", "value").write.partitionBy("lang").text(f"{work.root}/raw")

@@ -158,17 +158,17 @@ def fallback_anti_nulls(spark, folder):
     )
 
 
-@query(
-    "term_counts_boundary",
-    """WITH ends AS (
-      SELECT topic_id, t[len(t)] AS tail, lead(t[1]) OVER (PARTITION BY topic_id ORDER BY id) AS following
-      FROM tokens WHERE len(t) > 0)
-    SELECT topic_id, term, CAST(sum(tf) AS BIGINT) AS tf FROM (
-      SELECT topic_id, term, tf FROM counts
-      UNION ALL SELECT topic_id, tail || ' ' || following, 1 FROM ends WHERE following IS NOT NULL)
-    GROUP BY topic_id, term""",
-    TEXT_INPUT,
-)
+BOUNDARY = """ends AS (
+  SELECT topic_id, t[len(t)] AS tail, lead(t[1]) OVER (PARTITION BY topic_id ORDER BY id) AS following
+  FROM tokens WHERE len(t) > 0),
+with_boundary AS (
+  SELECT topic_id, term, CAST(sum(tf) AS BIGINT) AS tf FROM (
+    SELECT topic_id, term, tf FROM counts
+    UNION ALL SELECT topic_id, tail || ' ' || following, 1 FROM ends WHERE following IS NOT NULL)
+  GROUP BY topic_id, term)"""
+
+
+@query("term_counts_boundary", "SELECT * FROM with_boundary", (*TEXT_INPUT, BOUNDARY))
 def term_counts_boundary(spark, folder):
     """With the bigrams between a document and the next one of its topic."""
     return terms.term_counts(documents(spark, folder), boundary_ngrams=True)
@@ -207,6 +207,28 @@ def ctfidf(spark, folder):
     return weights(spark, folder).withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    "ctfidf_boundary",
+    "SELECT topic_id, term, tf, round(weight, 6) AS weight FROM weights",
+    (*TEXT_INPUT, BOUNDARY, WEIGHTS.replace("FROM counts", "FROM with_boundary")),
+)
+def ctfidf_boundary(spark, folder):
+    """Weights that count the bigrams between documents."""
+    found = terms.ctfidf(documents(spark, folder), boundary_ngrams=True)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "ctfidf_infeasible",
+    "SELECT topic_id, term, tf, round(weight, 6) AS weight FROM weights",
+    (*TEXT_INPUT, WEIGHTS.replace("WHERE (df >= 2 AND df <= 0.95 * n.n) OR n.n < 2 OR 0.95 * n.n < 2", "")),
+)
+def ctfidf_infeasible(spark, folder):
+    """Limits that no number of topics can hold: every term is kept."""
+    found = terms.ctfidf(documents(spark, folder), min_df=1_000_000)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
 @query(
     "topic_words",
     "SELECT topic_id, word, round(weight, 6) AS weight, rank FROM words",

@@ -57,7 +57,7 @@ def describe_topics(
     weights = terms.ctfidf(
         documents, (int(ngram[0]), int(ngram[1])), int(options["vectorizer_min_df"]),
         float(options["vectorizer_max_df"]), int(options["vectorizer_max_features"]), stop_words,
-        require_topics=True,
+        require_topics=True, boundary_ngrams=bool(options["boundary_ngrams"]),
     )
     words = terms.top_words(weights, int(options["top_n_words"]))
     words = Workspace(assignments.sparkSession, "words").save(words, "words")
@@ -175,8 +175,10 @@ def run_topic_model(
             lambda: {"fallback_topics": project_fallback(fallback, corpus, models)},
         )
         parts.append(extra["fallback_topics"])
+    # Stored once: all three result tables read the rows that have been placed.
+    assignments = Workspace(spark, "assignments").save(topics.union_assignments(*parts), "topics")
     return topics.compose_outputs(
-        topics.union_assignments(*parts), described["topic_info"], described["topic_words"],
+        assignments, described["topic_info"], described["topic_words"],
         config_name, run_name, str(options["primary_variant"]), int(options["keypaper_threshold"]),
     )
 
@@ -190,17 +192,19 @@ def topic_model(
     out: str,
     config_name: str | None = None,
     cache: str | None = None,
+    stop_words: Sequence[str] = ENGLISH,
 ) -> str:
-    """Runs from variant folders to result files and returns the folder of the results."""
+    """Runs from variant folders to result files and returns the folder of the results.
+
+    The rows of the variants are made unique once and stored; every stage reads them from there.
+    """
     full = config.resolve(options)
     primary, second = str(full["primary_variant"]), full["fallback_variant"]
     name = config_name or config.config_name_of(corpus_root, reference_root)
-    tables = run_topic_model(
-        read_embeddings_only(spark, corpus_root, primary),
-        read_text_only(spark, corpus_root, primary),
-        read_embeddings_only(spark, reference_root, primary),
-        options,
-        read_embeddings_only(spark, corpus_root, str(second)) if second else None,
-        name, run_name, cache,
-    )
+    work = Workspace(spark, "run-inputs")
+    corpus = work.save(read_embeddings_only(spark, corpus_root, primary), "corpus")
+    text = work.save(read_text_only(spark, corpus_root, primary), "text")
+    references = work.save(read_embeddings_only(spark, reference_root, primary), "references")
+    fallback = work.save(read_embeddings_only(spark, corpus_root, str(second)), "fallback") if second else None
+    tables = run_topic_model(corpus, text, references, options, fallback, name, run_name, cache, stop_words)
     return write_results(out, name, run_name, primary, tables)

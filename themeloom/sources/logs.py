@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from themeloom.lineage import Workspace
+
 
 def scrape_lines(text: DataFrame) -> DataFrame:
     """``(host, ts, line)`` from text rows that carry the path of their scrape file.
@@ -31,17 +33,31 @@ def stream_metrics_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(whole: DataFrame) -> DataFrame:
-    """``(file, line_no, line)`` from whole-file rows ``(file, value)``."""
+    """Of a stream, where files arrive whole: ``(file, line_no, line)`` from rows ``(file, value)``."""
     return whole.select(
         "file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")
     )
 
 
 def read_resource_log(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines of resource logs. A log is one row here: line order matters, and a log
-    is a few lines per sample of one job, so files are the unit of parallelism."""
-    whole = spark.read.text(path, wholetext=True)
-    return numbered_lines(whole.select(F.col("_metadata.file_path").alias("file"), "value"))
+    """``(file, line_no, line)``: numbered lines of resource logs of any size, numbers from 0.
+
+    Files are read in splits. The lines are stored with the split they come from and their place in it; the
+    number of lines of every split, summed over the splits before it, completes the number. What follows
+    the last line break of a file is a line only if it isn't empty.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    stored = Workspace(spark, "log-lines").save(lines, "lines")
+    splits = stored.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # A split of a file is at least a block, so a file has few of them.
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file", "split", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    return stored.join(offsets, ["file", "split"]).select(
+        "file", (F.col("place") + F.col("offset")).alias("line_no"), "line"
+    )
 
 
 def stream_resource_log(spark: SparkSession, path: str) -> DataFrame:

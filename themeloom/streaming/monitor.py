@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from themeloom.operators.monitor import IDLE_MIN, POLL_SEC, STARTUP_GRACE_MIN
@@ -183,3 +184,16 @@ def stream_idle_heartbeat(
             step, BEAT_SCHEMA, kept, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
+
+
+def stream_sessions(beats: DataFrame, idle_min: float = IDLE_MIN, watermark: str = "1 hour") -> DataFrame:
+    """``(host, started, ended, n_beats, idle_at)``: the runs of activity of ``beats(host, ts)`` that have ended.
+
+    The same runs as ``heartbeat_sessions``. A run is given out when the watermark has passed its idle limit, so
+    that the last run of a quiet table comes when another host's time moves on. Spark keeps one row for
+    each open run and host, and merges runs as beats between them arrive; beats behind the watermark are dropped.
+    """
+    # A window reaches the gap after its last beat, and one that begins there is the next.
+    runs = beats.withWatermark("ts", watermark).groupBy("host", F.session_window("ts", f"{int(idle_min * 60_000_000)} microseconds"))
+    found = runs.agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_beats"))
+    return found.select("host", "started", "ended", "n_beats", F.col("session_window.end").alias("idle_at"))

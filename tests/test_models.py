@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,9 +7,14 @@ from pyspark.sql import functions as F
 
 from tests.brute import hdbscan, same_partition
 from themeloom.operators.density import fit_hdbscan, predict_hdbscan
-from themeloom.operators.manifold import curve, fit_manifold, local_scale, transform_manifold
+from themeloom.lineage import Workspace, shared_dir
+from themeloom.operators import preprocess
+from themeloom.operators.manifold import ManifoldModel, curve, fit_manifold, local_scale, transform_manifold
+from themeloom.operators.neighbors import knn_join, prepare_points
 from themeloom.plans.inputs import planted, table, texts
-from themeloom.plans.topic_model import run_topic_model
+from themeloom.plans.topic_model import FittedModels, project, run_topic_model
+from themeloom.streaming.projection import score_stream
+from themeloom.streaming.run import stream_of
 
 
 def points(spark, x):
@@ -62,6 +69,32 @@ def test_layout_keeps_planted_neighbours(spark, folder):
     assert np.median(shift) < 1.0
 
 
+def test_stream_indexes_the_points_once(spark, folder):
+    """Three batches through the cells of two indexes; rows are placed as in one projection."""
+    rows = planted(spark, folder).select("id", "embedding")
+    pca = preprocess.fit_pca(rows, 10, whiten=False)
+    work = Workspace(spark, "index-test")
+    ready = work.save(preprocess.apply_pca(rows, pca), "ready")
+    models = FittedModels(None, pca, ManifoldModel(ready, ready, 8, "euclidean"), fit_hdbscan(ready, 10, 5))
+    arriving = work.save(rows.repartition(3), "arriving")
+    want = {r["id"]: r["topic_id"] for r in project(rows, models, "corpus", "fallback").collect()}
+    count = lambda: len(list(Path(shared_dir(spark)).glob("knn-index-*/cells")))
+    before, out = count(), f"{work.root}/scored"
+    score_stream(stream_of(spark, work, "arriving", arriving, 1), models, out, f"{out}-checkpoint", matrix_limit=0)
+    assert count() - before == 2
+    found = spark.read.parquet(out)
+    assert {r["id"]: r["topic_id"] for r in found.collect()} == want and found.select("batch").distinct().count() == 3
+
+
+def test_prepared_points_must_fit(spark):
+    own = points(spark, np.eye(4))
+    ready = prepare_points(own, 2)
+    assert knn_join(own, ready, 1).count() == 4
+    for bad in (lambda: knn_join(own, ready, 3), lambda: knn_join(own, ready, 2, "cosine")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_whole_run_and_its_cache(spark, folder, tmp_path):
     rows = planted(spark, folder).select(F.col("id").cast("string").alias("id"), "embedding")
     text = texts(spark, folder)

@@ -19,7 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions.vectors import as_double, l2_normalize, matrix
@@ -217,11 +218,39 @@ def _expand(rows, cols, dists, ids: pa.Array, self_ids: pa.Array | None, k: int)
     return r[keep], d[keep], names.filter(pa.array(keep)), rank[keep] + 1
 
 
-def _by_matrix(queries: DataFrame, folded: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
-    table = folded.withColumn("_first", F.col("ids")[0]).orderBy("_first").select("ids", "embedding").toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (table.column("ids").combine_chunks(), matrix(table.column("embedding")))
-    )
+@dataclass
+class PointIndex:
+    """Points made ready for searches by Euclidean distance: copies folded, and either all of them as
+    a broadcast matrix or dealt into stored cells. It serves any number of searches."""
+
+    folded: DataFrame  # ids, embedding
+    keep: int  # neighbours that a search may ask for
+    kind: str  # type of the ids
+    shared: Broadcast | None
+    cells: Cells | None
+    probes: int | None
+    block_rows: int
+
+
+def _index(points: DataFrame, keep: int, matrix_limit: int, block_rows: int, probes: int | None) -> PointIndex:
+    kind = points.schema["id"].dataType.simpleString()
+    size = points.agg(
+        F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
+    ).first()
+    folded = fold_copies(points, keep).withColumn("_first", F.col("ids")[0])
+    if probes is None and size["n"] * max(size["d"], 1) * 8 <= matrix_limit:
+        table = folded.orderBy("_first").select("ids", "embedding").toArrow()
+        shared = points.sparkSession.sparkContext.broadcast(
+            (table.column("ids").combine_chunks(), matrix(table.column("embedding")))
+        )
+        return PointIndex(folded, keep, kind, shared, None, probes, block_rows)
+    work = Workspace(points.sparkSession, "knn-index")
+    folded = work.save(folded, "folded")
+    most = MAX_CELLS if probes is None else max(MAX_CELLS, PIVOT_BYTES // (8 * max(1, size["d"])))
+    return PointIndex(folded, keep, kind, None, build_cells(folded, "_first", work, size["n"], most=most), probes, block_rows)
+
+
+def _by_matrix(queries: DataFrame, shared: Broadcast, k: int, exclude_self: bool, schema: str) -> DataFrame:
     reach = k + 1 if exclude_self else k
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,15 +297,10 @@ def _cell_lists(cells: Cells, with_bound: bool, k: int, probes: int = 1) -> Call
     return lists
 
 
-def _by_cells(
-    queries: DataFrame, folded: DataFrame, k: int, exclude_self: bool, n_points: int, id_types: tuple[str, str],
-    work: Workspace, block_rows: int, probes: int | None = None, width: int = 1,
-) -> DataFrame:
+def _by_cells(queries: DataFrame, index: PointIndex, k: int, exclude_self: bool, q_type: str) -> DataFrame:
     reach = k + 1 if exclude_self else k
-    points = folded.withColumn("_first", F.col("ids")[0])
-    most = MAX_CELLS if probes is None else max(MAX_CELLS, PIVOT_BYTES // (8 * max(1, width)))
-    cells = build_cells(points, "_first", work, n_points, most=most)
-    q_type, p_type = id_types
+    cells, p_type, probes, block_rows = index.cells, index.kind, index.probes, index.block_rows
+    work = Workspace(queries.sparkSession, "knn")
 
     def top_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
@@ -323,9 +347,47 @@ def _best_of(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     return merged.withColumn("rank", final).filter(F.col("rank") <= k)
 
 
+@dataclass
+class Prepared:
+    """A point set that searches use again and again, see ``prepare_points``."""
+
+    metric: str
+    exclude_self: bool
+    index: PointIndex
+    blank: list  # the first ids of zero vectors, where the metric needs them apart
+    everyone: list  # the first ids of all
+
+
+def _ready(df: DataFrame, metric: str) -> DataFrame:
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    vec = F.col("embedding")
+    return df.select("id", (l2_normalize(vec) if metric == "cosine" else as_double(vec)).alias("embedding"))
+
+
+def is_zero() -> Column:
+    return ~F.exists("embedding", lambda x: x != 0)
+
+
+def first_ids(rows: DataFrame, n: int) -> list:
+    return [r["id"] for r in rows.select("id").orderBy("id").limit(n).collect()]
+
+
+def prepare_points(
+    points: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, matrix_limit: int = MATRIX_LIMIT_BYTES,
+    block_rows: int = BLOCK_ROWS, probes: int | None = None,
+) -> Prepared:
+    """What ``knn_join`` needs of its points, built and stored once for searches of up to ``k`` neighbours."""
+    rows, keep = _ready(points, metric), k + 1 if exclude_self else k
+    if metric == "euclidean":
+        return Prepared(metric, exclude_self, _index(rows, keep, matrix_limit, block_rows, probes), [], [])
+    index = _index(rows.filter(~is_zero()), keep, matrix_limit, block_rows, probes)
+    return Prepared(metric, exclude_self, index, first_ids(rows.filter(is_zero()), keep), first_ids(rows, keep))
+
+
 def knn_join(
     queries: DataFrame,
-    points: DataFrame,
+    points: DataFrame | Prepared,
     k: int,
     metric: str = "euclidean",
     exclude_self: bool = False,
@@ -335,24 +397,22 @@ def knn_join(
 ) -> DataFrame:
     """``(query_id, neighbor_id, distance, rank)``: the ``k`` nearest points of every query.
 
-    Both inputs are ``(id, embedding)`` with unique ids. Equal distances go by id.
+    Both inputs are ``(id, embedding)`` with unique ids; ``points`` may be prepared, then the options are those it was
+    prepared with. Equal distances go by id.
     ``probes`` asks for an approximate search of that many cells for each query, whatever the
     size of the table; ``recall_of`` measures what it finds. ``cosine`` distances are ``1 - cos``; a zero vector is at distance 1 from every other. ``exclude_self`` leaves out the point with the query's own id.
     """
-    if metric not in ("euclidean", "cosine"):
-        raise ValueError(f"unknown metric {metric!r}")
-
-    def ready(df: DataFrame) -> DataFrame:
-        vec = F.col("embedding")
-        return df.select("id", (l2_normalize(vec) if metric == "cosine" else as_double(vec)).alias("embedding"))
-
-    def search(queries: DataFrame, points: DataFrame) -> DataFrame:
-        return _euclidean_join(queries, points, k, exclude_self, matrix_limit, block_rows, probes)
-
-    queries, points = ready(queries), ready(points)
-    if metric == "cosine":
-        return cosine_join(queries, points, k, exclude_self, search)
-    return search(queries, points)
+    own = points
+    if not isinstance(own, Prepared):
+        own = prepare_points(points, k, metric, exclude_self, matrix_limit, block_rows, probes)
+    reach = k + 1 if exclude_self else k
+    if (own.metric, own.exclude_self) != (metric, exclude_self) or own.index.keep < reach:
+        raise ValueError("the points were prepared for another search")
+    rows = _ready(queries, metric)
+    if metric == "euclidean":
+        return _search(rows, own.index, k, exclude_self)
+    near = _search(rows.filter(~is_zero()), own.index, k, exclude_self)
+    return with_zero_vectors(rows, near, own.blank[:reach], own.everyone[:reach], k, exclude_self, own.index.kind)
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -362,51 +422,34 @@ def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     return joined.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.countDistinct("query_id").alias("n"))
 
 
-def cosine_join(
-    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, search: Callable[[DataFrame, DataFrame], DataFrame]
+def with_zero_vectors(
+    queries: DataFrame, near: DataFrame, blank: list, everyone: list, k: int, exclude_self: bool, kind: str
 ) -> DataFrame:
-    """Unit vectors by half their squared distance, which ``search`` finds. A zero vector has no direction: its cosine
-    to anything is 0, so it stays out of the search and is merged at distance 1."""
-    zero = ~F.exists("embedding", lambda x: x != 0)
-    reach = k + 1 if exclude_self else k
-    near = search(queries.filter(~zero), points.filter(~zero))
-    near = near.withColumn("distance", F.col("distance") * F.col("distance") / 2)
-
-    def first(rows: DataFrame) -> list:
-        return [r["id"] for r in rows.select("id").orderBy("id").limit(reach).collect()]
+    """Cosine neighbours from those that unit vectors have by distance.
 
-    blank, everyone = first(points.filter(zero)), first(points)
-    id_type = points.schema["id"].dataType
+    A zero vector has no direction: its cosine to anything is 0, so it stays out of the search and is merged at
+    distance 1. ``blank`` are the first ids of zero vectors, ``everyone`` those of all points.
+    """
+    near = near.withColumn("distance", F.col("distance") * F.col("distance") / 2)
 
     def at_one(rows: DataFrame, ids: list) -> DataFrame:
-        other = F.explode(F.lit(ids).cast(f"array<{id_type.simpleString()}>") if ids else F.array().cast(f"array<{id_type.simpleString()}>"))
+        other = F.explode(F.lit(ids).cast(f"array<{kind}>") if ids else F.array().cast(f"array<{kind}>"))
         pairs = rows.select(F.col("id").alias("query_id"), other.alias("neighbor_id"), F.lit(1.0).alias("distance"))
         return pairs.filter(F.col("query_id") != F.col("neighbor_id")) if exclude_self else pairs
 
     # Each query has at most k found rows and k + 1 of the smallest ids at distance 1.
-    merged = near.drop("rank").unionByName(at_one(queries.filter(zero), everyone))
+    merged = near.drop("rank").unionByName(at_one(queries.filter(is_zero()), everyone))
     if blank:
-        merged = merged.unionByName(at_one(queries.filter(~zero), blank))
+        merged = merged.unionByName(at_one(queries.filter(~is_zero()), blank))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", "rank")
 
 
-def _euclidean_join(
-    queries: DataFrame, points: DataFrame, k: int, exclude_self: bool, matrix_limit: int, block_rows: int, probes: int | None
-) -> DataFrame:
+def _search(queries: DataFrame, index: PointIndex, k: int, exclude_self: bool) -> DataFrame:
     q_type = queries.schema["id"].dataType.simpleString()
-    p_type = points.schema["id"].dataType.simpleString()
-    schema = f"query_id {q_type}, neighbor_id {p_type}, distance double, rank int"
-    size = points.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
-    ).first()
-    folded = fold_copies(points, k + 1 if exclude_self else k)
-    if probes is None and size["n"] * max(size["d"], 1) * 8 <= matrix_limit:
-        spread = queries.repartition("id")
-        found = _by_matrix(spread, folded, k, exclude_self, schema)
+    schema = f"query_id {q_type}, neighbor_id {index.kind}, distance double, rank int"
+    if index.shared is not None:
+        found = _by_matrix(queries.repartition("id"), index.shared, k, exclude_self, schema)
     else:
-        work = Workspace(queries.sparkSession, "knn")
-        found = _by_cells(
-            queries, work.save(folded, "folded"), k, exclude_self, size["n"], (q_type, p_type), work, block_rows, probes, size["d"]
-        )
+        found = _by_cells(queries, index, k, exclude_self, q_type)
     return found.select("query_id", "neighbor_id", "distance", "rank")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from themeloom.lineage import Workspace
 from themeloom.operators import preprocess, terms, topics
 from themeloom.operators.concepts import supervised_labels
 from themeloom.operators.dedup import fallback_minus_primary
-from themeloom.operators.density import DensityModel, fit_hdbscan, predict_hdbscan
-from themeloom.operators.manifold import ManifoldModel, fit_manifold, transform_manifold
+from themeloom.operators.density import DensityModel, fit_hdbscan, index_hdbscan, predict_hdbscan
+from themeloom.operators.manifold import ManifoldModel, fit_manifold, index_manifold, transform_manifold
 from themeloom.plans import config
 from themeloom.sources.stages import data_fingerprint, stage_cache, write_results
 from themeloom.sources.variants import read_embeddings_only, read_text_only
@@ -30,6 +30,11 @@ class FittedModels:
     density: DensityModel
 
 
+def index_models(models: FittedModels, **search) -> FittedModels:
+    """The models with the points of both searches made ready once, for many small projections."""
+    return replace(models, manifold=index_manifold(models.manifold, **search), density=index_hdbscan(models.density, **search))
+
+
 def project(rows: DataFrame, models: FittedModels, source: str, topic_source: str) -> DataFrame:
     """``(id, source, topic_id, topic_source, probability)`` of rows placed in fitted models."""
     ready = preprocess.apply_preprocessing(rows.select("id", "embedding"), models.mean, models.pca)

@@ -87,3 +87,11 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert dc.find_hits(none, bench).collect() == []
     assert dc.find_hits(docs, bench).first()["hits"]["items"] == []
+
+
+def test_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"before {words} after", "a", "b"), (2, "clean", "a", "b")], "doc_id long, text string, _hits_0 string, _hits_1 string")
+    items = spark.createDataFrame([("x", words), ("y", "other words " * 9)], "item_id string, text string")
+    found = dc.find_hits(docs, items, shard_bytes=100)
+    assert {r["doc_id"]: (r["_hits_0"], r["_hits_1"], r["hits"]["items"]) for r in found.collect()} == {1: ("a", "b", ["x"]), 2: ("a", "b", [])}

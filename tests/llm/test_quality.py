@@ -63,3 +63,12 @@ def test_odd_rows(spark):
     assert out.count() == 6 and out.filter("judged.keep IS NULL").count() == 0
     none = quality.classify_quality(docs.limit(0), labels.limit(0))
     assert none.count() == 0 and none.columns == ["doc_id", "text", "source", "lang", "_id", "judged"]
+
+
+def test_clashing_columns(spark, folder):
+    docs = queries.table(spark, folder, "documents").limit(60)
+    labels = queries.table(spark, folder, "labels")
+    plain = {r["doc_id"]: r["judged"] for r in quality.classify_quality(docs, labels).collect()}
+    names = ("_e", "_good", "_site_host", "_site_path_p", "_row", "host", "path", "judged")
+    for r in quality.classify_quality(docs.selectExpr("*", *[f"'odd' AS {c}" for c in names]), labels).collect():
+        assert all(r[c] == "odd" for c in names[:-1]) and r["judged"] == plain[r["doc_id"]]

@@ -115,3 +115,11 @@ def test_masks(spark, segment, want):
 
 def test_empty_table(spark):
     assert urltree.judge_urls(spark.createDataFrame([], "url string"), queries.RULES).collect() == []
+
+
+def test_clashing_columns(spark):
+    urls = spark.createDataFrame([(1, "http://a.com/x/1"), (2, "http://example.com/en/2"), (3, None)], "page_id long, url string")
+    plain = {r["page_id"]: r["judged"] for r in urltree.judge_urls(urls, queries.RULES).collect()}
+    names = ("_u", "_r", "_t_host", "_t_template", "_row", "host", "path", "parts", "judged")
+    for r in urltree.judge_urls(urls.selectExpr("*", *[f"'odd' AS {c}" for c in names]), queries.RULES).collect():
+        assert all(r[c] == "odd" for c in names[:-1]) and r["judged"] == plain[r["page_id"]]

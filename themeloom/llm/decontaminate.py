@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.lineage import Workspace
-from themeloom.llm.tokens import LOWER, Words, batch_udf, text_bytes, window_hashes, words_of
+from themeloom.llm.tokens import LOWER, Words, batch_udf, free_names, text_bytes, window_hashes, words_of
 
 WINDOW = 13
 SHARD_BYTES = 32 << 20
@@ -138,7 +138,7 @@ def find_hits(
         F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text")
     )
     work = Workspace(spark, "decontaminate") if shards > 1 else None
-    out = docs
+    out, parts = docs, free_names([f"_hits_{k}" for k in range(shards)], docs.columns)
     for k in range(shards):
         part = labelled if shards == 1 else labelled.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
         rows = part.toArrow()
@@ -146,10 +146,8 @@ def find_hits(
         found = _scanner(spark.sparkContext.broadcast(index))(F.col(text))
         if shards == 1:
             return out.withColumn("hits", found)
-        out = work.save(out.withColumn(f"_hits_{k}", found), f"shard-{k}")
-    return out.withColumn("hits", _union([F.col(f"_hits_{k}") for k in range(shards)])).drop(
-        *[f"_hits_{k}" for k in range(shards)]
-    )
+        out = work.save(out.withColumn(parts[k], found), f"shard-{k}")
+    return out.withColumn("hits", _union([F.col(x) for x in parts])).drop(*parts)
 
 
 def _join_spans(starts: pa.Array, ends: pa.Array) -> pa.Array:

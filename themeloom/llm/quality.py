@@ -247,16 +247,18 @@ def classify_quality(
     """``docs`` with ``judged``: text probabilities, site posteriors, the combined ``score`` and ``keep``."""
     spark = docs.sparkSession
     model = fit_evidence(docs, labels, id_col, text, quality, toxic, sample)
-    evidence = evidence_of(model, spark)(F.col(text))
+    # The caller's row is one column, so that none of its names can meet those below.
+    evidence = evidence_of(model, spark)
     good = (1 - F.col("_e.low")) * (1 - F.col("_e.toxic"))
-    scored = docs.withColumn("_e", evidence).withColumn("_good", good)
-    soft = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), evidence.alias("_e")).select("host", "path", good.alias("p"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    scored = whole.withColumn("_e", evidence(F.col(f"_row.{text}"))).withColumn("_good", good)
+    soft = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), evidence(F.col(text)).alias("_e")).select("host", "path", good.alias("p"))
     sites = site_posteriors(soft)
     short = sites.count() <= SMALL_TABLE
     sites = sites.select(*[F.col(c).alias(f"_site_{c}") for c in sites.columns])
     joined = scored.join(
         F.broadcast(sites) if short else sites,
-        scored[host].eqNullSafe(F.col("_site_host")) & scored[path].eqNullSafe(F.col("_site_path")), "left",
+        F.col(f"_row.{host}").eqNullSafe(F.col("_site_host")) & F.col(f"_row.{path}").eqNullSafe(F.col("_site_path")), "left",
     )
     odds = _logit(F.col("_good")) + _logit(F.col("_site_path_p")) - _logit(F.col("_site_global"))
     score = 1 / (1 + F.exp(-odds))
@@ -264,4 +266,4 @@ def classify_quality(
         F.col("_e.low").alias("p_low"), F.col("_e.toxic").alias("p_toxic"), F.col("_site_host_p").alias("host_p"),
         F.col("_site_path_p").alias("path_p"), score.alias("score"), (score >= keep_at).alias("keep"),
     )
-    return joined.withColumn("judged", judged).select(*[c for c in docs.columns if c != "judged"], "judged")
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "judged"], judged.alias("judged"))

@@ -124,12 +124,14 @@ def judge_urls(
     """``urls`` with ``judged``: host, path, rule, verdict, template and its purity."""
     spark = urls.sparkSession
     work = Workspace(spark, "urls")
-    host, path = host_and_path(F.col(url))
+    # The caller's row is one column, so that none of its names can meet those below.
+    host, path = host_and_path(F.col(f"_row.{url}"))
     rule, says = rule_of(F.col("_u.host"), F.col("_u.path"), rules)
-    read = urls.withColumn("_u", F.struct(host.alias("host"), path.alias("path"))).withColumn(
+    whole = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("_row"))
+    read = whole.withColumn("_u", F.struct(host.alias("host"), path.alias("path"))).withColumn(
         "_r", F.struct(rule.alias("rule"), says.alias("says"), segments(F.col("_u.path")).alias("parts"))
     )
-    bad = F.col(label).cast("int") if label else F.when(F.col("_r.says").isNotNull(), (F.col("_r.says") == "block").cast("int"))
+    bad = F.col(f"_row.{label}").cast("int") if label else F.when(F.col("_r.says").isNotNull(), (F.col("_r.says") == "block").cast("int"))
     rows = read.filter("_u.host <> ''").select(F.col("_u.host").alias("host"), F.col("_r.parts").alias("parts"), bad.alias("bad"))
     counted = templates(rows, work)
     verdicts = judged_templates(counted, reject_at, strength)
@@ -148,4 +150,4 @@ def judge_urls(
         F.coalesce(F.col("_r.says"), own).alias("verdict"),
         F.concat(F.lit("/"), F.array_join("_t_template", "/")).alias("template"), F.col("_t_purity").alias("purity"),
     )
-    return joined.withColumn("judged", judged).select(*[c for c in urls.columns if c != "judged"], "judged")
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in urls.columns if c != "judged"], judged.alias("judged"))

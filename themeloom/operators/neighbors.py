@@ -2,9 +2,9 @@
 
 A small point set (checked in bytes) travels with the tasks. A larger one is cut into cells
 around pivots; the triangle inequality tells each query which cells can still hold a nearer
-point, and only those are visited. A visit is a co-group of a block of points with a chunk of
-queries; both sides are split to a fixed size, so neither a crowded cell nor a popular one can
-overload a task. Equal vectors are folded into one representative first, so a group of copies
+point, and only those are visited. Neighbouring cells are bundled; a visit is a co-group of a bundle with a chunk of
+queries, to which each query vector moves once with the list of its cells; both sides are split to a fixed size, so
+neither a crowded cell nor a popular one can overload a task. Equal vectors are folded into one representative first, so a group of copies
 costs as much as a single point.
 
 The join is exact unless the caller asks for ``probes``: then each query visits that many of its
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from themeloom.operators.preprocess import sample_rows
 MATRIX_LIMIT_BYTES = 32 << 20  # point sets up to this size travel with the tasks
 BLOCK_ROWS = 4_096  # points per block and queries per chunk
 MAX_CELLS = 4_096  # bounds the pivots held by every task
+BUNDLE_BLOCKS = 16  # blocks that neighbouring cells fill together, as far as their vectors have room
+BUNDLE_BYTES = 32 << 20
 PAIRS_AT_ONCE = 4 << 20  # distances held at a time inside a task
 PIVOT_BYTES = 64 << 20  # pivots of a search with probes, whose cells keep their size as tables grow
 
@@ -206,8 +209,6 @@ def _expand(rows, cols, dists, ids: pa.Array, self_ids: pa.Array | None, k: int)
     at = np.repeat(offsets[:-1][cols], counts) + within
     names = flat.take(pa.array(at))
     if self_ids is not None:
-        import pyarrow.compute as pc
-
         other = pc.not_equal(names, self_ids.take(pa.array(r))).to_numpy(zero_copy_only=False)
         r, d, names = r[other], d[other], names.filter(pa.array(other))
     key = np.array(names.to_pylist()) if pa.types.is_string(names.type) else names.to_numpy(zero_copy_only=False)
@@ -226,10 +227,12 @@ class PointIndex:
     folded: DataFrame  # ids, embedding
     keep: int  # neighbours that a search may ask for
     kind: str  # type of the ids
-    shared: Broadcast | None
-    cells: Cells | None
-    probes: int | None
-    block_rows: int
+    shared: Broadcast | None = None
+    cells: Cells | None = None
+    bundle: np.ndarray | None = None  # of each cell
+    bundles: Cells | None = None  # the same points by bundle, with their ``own_cell``
+    bundle_rows: int = 0
+    probes: int | None = None
 
 
 def _index(points: DataFrame, keep: int, matrix_limit: int, block_rows: int, probes: int | None) -> PointIndex:
@@ -243,11 +246,18 @@ def _index(points: DataFrame, keep: int, matrix_limit: int, block_rows: int, pro
         shared = points.sparkSession.sparkContext.broadcast(
             (table.column("ids").combine_chunks(), matrix(table.column("embedding")))
         )
-        return PointIndex(folded, keep, kind, shared, None, probes, block_rows)
+        return PointIndex(folded, keep, kind, shared)
     work = Workspace(points.sparkSession, "knn-index")
     folded = work.save(folded, "folded")
     most = MAX_CELLS if probes is None else max(MAX_CELLS, PIVOT_BYTES // (8 * max(1, size["d"])))
-    return PointIndex(folded, keep, kind, None, build_cells(folded, "_first", work, size["n"], most=most), probes, block_rows)
+    cells = build_cells(folded, "_first", work, size["n"], most=most, block_rows=block_rows)
+    rows = max(block_rows, min(BUNDLE_BLOCKS * block_rows, BUNDLE_BYTES // (8 * max(1, size["d"]))))
+    bundle = bundle_cells(cells.pivots, cells.sizes, rows) if len(cells.pivots) else np.zeros(0, np.int32)
+    named = points.sparkSession.createDataFrame([(c, int(b)) for c, b in enumerate(bundle)] or [(-1, -1)], "own_cell int, cell int")
+    dealt = cells.points.withColumnRenamed("cell", "own_cell").join(F.broadcast(named), "own_cell")  # a row for each pivot: bounded
+    held = np.bincount(bundle, cells.sizes, minlength=1).astype(np.int64)
+    bundles = Cells(cells.pivots, dealt.select("cell", "own_cell", "_first", "ids", "embedding"), held, cells.radii)
+    return PointIndex(folded, keep, kind, None, cells, bundle, bundles, rows, probes)
 
 
 def _by_matrix(queries: DataFrame, shared: Broadcast, k: int, exclude_self: bool, schema: str) -> DataFrame:
@@ -269,9 +279,30 @@ def _by_matrix(queries: DataFrame, shared: Broadcast, k: int, exclude_self: bool
     return queries.mapInArrow(search, schema)
 
 
-def _cell_lists(cells: Cells, with_bound: bool, k: int, probes: int = 1) -> Callable:
-    """Batch function adding ``cells_to_visit``: without a bound the nearest cells that hold
-    ``k`` points, ``probes`` at least, with one the other cells that may hold a point nearer than it."""
+def bundle_cells(pivots: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
+    """The bundle of every cell: neighbouring cells that hold ``limit`` points together, or one cell that holds more.
+
+    Cells are halved along the axis in which their pivots differ most, until every half is small enough.
+    """
+    bundle = np.zeros(len(pivots), np.int32)
+    stack, made = [np.arange(len(pivots))], 0
+    while stack:
+        own = stack.pop()
+        if len(own) > 1 and sizes[own].sum() > limit:
+            axis = pivots[own].var(axis=0).argmax()
+            own = own[np.argsort(pivots[own, axis], kind="stable")]
+            held = np.cumsum(sizes[own])
+            half = int(np.clip(np.searchsorted(held, held[-1] / 2), 1, len(own) - 1))
+            stack += [own[:half], own[half:]]
+        else:
+            bundle[own] = made
+            made += 1
+    return bundle
+
+
+def _cell_lists(cells: Cells, bundle: np.ndarray, with_bound: bool, k: int, probes: int = 1) -> Callable:
+    """Batch function from queries to rows ``(query, bundle, cells)``, one for each bundle to visit: without a bound the
+    nearest cells that hold ``k`` points, ``probes`` at least, with one the other cells that may hold a point nearer than it."""
     sizes, pivots, radii = cells.sizes, cells.pivots, cells.radii
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,40 +321,68 @@ def _cell_lists(cells: Cells, with_bound: bool, k: int, probes: int = 1) -> Call
                 margin = 1e-7 * (1.0 + to_pivots.max(axis=1))
                 wanted = (lower_bounds(to_pivots, sizes, radii) <= (bound + margin)[:, None]) & ~seed & (sizes > 0)
             r, c = np.nonzero(wanted)
-            offsets = np.searchsorted(r, np.arange(len(x) + 1)).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(c.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "cells_to_visit"])
+            order = np.lexsort((c, bundle[c], r))
+            r, c = r[order], c[order]
+            b = bundle[c]
+            starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (b[1:] != b[:-1])])) if len(r) else np.zeros(0, int)
+            own = pa.array(r[starts])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("query_id").take(own), batch.column("embedding").take(own), pa.array(b[starts].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)).astype(np.int32)), pa.array(c.astype(np.int32))),
+                ],
+                names=["query_id", "embedding", "cell", "cells"],
+            )
 
     return lists
 
 
-def _by_cells(queries: DataFrame, index: PointIndex, k: int, exclude_self: bool, q_type: str) -> DataFrame:
-    reach = k + 1 if exclude_self else k
-    cells, p_type, probes, block_rows = index.cells, index.kind, index.probes, index.block_rows
-    work = Workspace(queries.sparkSession, "knn")
+def _top_of_bundle(reach: int):
+    """Group function: the ``reach`` nearest points of every query in the cells of a bundle that it visits."""
 
-    def top_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
         if left.num_rows and right.num_rows:
-            right = right.sort_by("_first")
-            r, c, d = nearest(matrix(left.column("embedding")), matrix(right.column("embedding")), reach)
-            ids, query = right.column("ids").take(pa.array(c)), left.column("query_id").take(pa.array(r))
-        else:
-            ids, query, d = right.column("ids")[:0], left.column("query_id")[:0], np.empty(0)
-        return pa.table({"query_id": query, "ids": ids, "distance": pa.array(d)})
+            right = right.sort_by([("own_cell", "ascending"), ("_first", "ascending")])
+            x, y = matrix(left.column("embedding")), matrix(right.column("embedding"))
+            lists = left.column("cells").combine_chunks()
+            asked = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            cell = lists.flatten().to_numpy()
+            order = np.argsort(cell, kind="stable")
+            asked, cell, held = asked[order], cell[order], right.column("own_cell").to_numpy()
+            for c in np.intersect1d(cell, held):
+                low, high = np.searchsorted(held, (c, c + 1))
+                own = asked[slice(*np.searchsorted(cell, (c, c + 1)))]
+                r, i, d = nearest(x[own], y[low:high], reach)
+                found.append((own[r], i + low, d))
+        if not found:
+            return pa.table({"query_id": left.column("query_id")[:0], "ids": right.column("ids")[:0], "distance": pa.array([], pa.float64())})
+        r, i, d = (np.concatenate(z) for z in zip(*found))
+        name = pc.rank(right.column("_first")).to_numpy()
+        order = np.lexsort((name[i], d, r))
+        r, i, d = r[order], i[order], d[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r, side="left") < reach
+        r, i, d = r[best], i[best], d[best]
+        return pa.table({"query_id": left.column("query_id").take(pa.array(r)), "ids": right.column("ids").take(pa.array(i)), "distance": pa.array(d)})
+
+    return search
+
 
-    found_schema = f"query_id {q_type}, ids array<{p_type}>, distance double"
+def _by_cells(queries: DataFrame, index: PointIndex, k: int, exclude_self: bool, q_type: str) -> DataFrame:
+    """A query vector moves once to each bundle of cells that it visits, with the list of these cells; what comes back are ids."""
+    reach = k + 1 if exclude_self else k
+    cells, bundles, bundle, probes = index.cells, index.bundles, index.bundle, index.probes
+    work = Workspace(queries.sparkSession, "knn")
     asked = queries.select(F.col("id").alias("query_id"), "embedding")
 
     def run(frame: DataFrame, with_bound: bool, name: str) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
         listed = frame.mapInArrow(
-            _cell_lists(cells, with_bound, reach, probes or 1), f"{fields}, cells_to_visit array<int>"
-        )
-        visits = work.save(
-            listed.select("query_id", "embedding", F.explode("cells_to_visit").alias("cell")), f"{name}-visits"
+            _cell_lists(cells, bundle, with_bound, reach, probes or 1), f"query_id {q_type}, embedding array<double>, cell int, cells array<int>"
         )
+        visits = work.save(listed, f"{name}-visits")
         found = visit(
-            cells, visits, cells.points, top_of_block, found_schema, "query_id", "_first", block_rows
+            bundles, visits, bundles.points, _top_of_bundle(reach), f"query_id {q_type}, ids array<{index.kind}>, distance double",
+            "query_id", "_first", index.bundle_rows,
         )
         return work.save(found, name)
 

@@ -123,3 +123,18 @@ def test_notices_inside_larger_stretches():
     ]
     assert [[f[2] for f in own] for own in scanned(texts)] == [["GPL-3.0"], ["MPL-2.0"], ["BSD-3-Clause"], ["MIT"]]
     assert all(f[3] == 1 for own in scanned(texts) for f in own)
+
+
+def test_names_of_like_notices():
+    """Headers whose texts differ in a few words are found under their own names, with the warranty that follows them."""
+    header = "{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+    rest = " It is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY. See the GNU {0}General Public License for more details."
+    for kind, library, marks, version in (
+        ("GPL", "", (";", ";"), "2"), ("GPL", "", (":", ","), "3"), ("LGPL", "Lesser ", (";", ";"), "2.1"), ("LGPL", "Lesser ", (":", ","), "3"), ("AGPL", "Affero ", (":", ","), "3"),
+    ):
+        name = f"{kind}-{version}" + ("" if "." in version else ".0")
+        for subject in ("This program", "This library" if library == "Lesser " else "This program"):
+            text = header.format(subject, marks[0], library, marks[1], version)
+            for own in (text, text + rest.format(library), "/* words before\n * " + text.replace(" modify", "\n * modify") + " */"):
+                assert {x[2] for x in scanned([own])[0]} == {name}, own
+    assert len({name for name, _ in lc.TEMPLATES}) >= 19

@@ -22,7 +22,7 @@ def points(spark, x):
 
 
 @pytest.mark.parametrize(
-    "kind,options", [("plain", {}), ("copies", {"links_limit": 3, "block_rows": 50, "matrix_limit": 0, "merges_limit": 1, "tree_limit": 0}), ("grid", {"merges_limit": 2})]
+    "kind,options", [("plain", {}), ("copies", {"links_limit": 3, "block_rows": 50, "matrix_limit": 0, "merges_limit": 1, "tree_limit": 0}), ("grid", {"merges_limit": 2}), ("plain", {"search": "graph"})]
 )
 def test_clusters_equal_the_all_pairs_algorithm(spark, kind, options):
     rng = np.random.default_rng(5)

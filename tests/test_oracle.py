@@ -16,7 +16,7 @@ TABLES = (
 
 # Fitted models take longest; the tests of their own files cover them. Queries of the pipeline
 # operators are tested beside those.
-SLOW = {"topic_model", "project_new_rows", "stream_score", "manifold_fit", "manifold_supervised", "hdbscan_predict", "topic_model_rows", "manifold_neighbours"}
+SLOW = {"topic_model", "project_new_rows", "stream_score", "manifold_fit", "manifold_supervised", "hdbscan_predict", "topic_model_rows", "topic_model_graph", "manifold_neighbours"}
 
 
 @pytest.fixture(scope="module")

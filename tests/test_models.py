@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import hdbscan, same_partition
-from themeloom.operators.density import fit_hdbscan, predict_hdbscan
+from themeloom.operators.density import _search, fit_hdbscan, predict_hdbscan
 from themeloom.lineage import Workspace, shared_dir
 from themeloom.operators import preprocess
 from themeloom.operators.manifold import ManifoldModel, curve, fit_manifold, local_scale, transform_manifold
-from themeloom.operators.neighbors import knn_join, prepare_points
+from themeloom.operators.neighbors import build_cells, in_bundles, knn_join, prepare_points
 from themeloom.plans.inputs import planted, table, texts
 from themeloom.plans.topic_model import FittedModels, project, run_topic_model
 from themeloom.streaming.projection import score_stream
@@ -42,6 +42,23 @@ def test_clusters_equal_the_all_pairs_algorithm(spark, kind, options):
     assert far["topic_id"] == -1 and far["probability"] == 0.0
 
 
+def test_points_move_once_to_a_bundle_of_cells(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(120, 12)), rng.normal(size=(120, 12)) + 9])
+    nodes = points(spark, x).selectExpr("id AS node", "embedding", "0D AS core", "0D AS reach")
+    work = Workspace(spark, "bundles")
+    cells = build_cells(nodes, "node", work, len(x), block_rows=16)
+    labels = nodes.selectExpr("node", "CASE WHEN node < 120 THEN node % 2 ELSE 2 END AS comp")
+    best = spark.createDataFrame([(0, (50.0, 0, 1)), (1, (50.0, 0, 1)), (2, (50.0, 0, 1))], "comp long, best struct<w double, lo long, hi long>")
+    found = {r["c_lo"]: r["w"] for r in _search(cells, in_bundles(cells, 12, 16), labels, best, work).collect()}
+    comp = np.where(np.arange(240) < 120, np.arange(240) % 2, 2)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert found == {c: pytest.approx(d[comp == c][:, comp != c].min()) for c in range(3)}
+    # 60 cells, which all points ask: one row for each bundle, not for each cell.
+    assert len(cells.pivots) == 60
+    assert spark.read.parquet(f"{work.root}/visits-0").count() <= 240 * 3
+
+
 def test_too_few_points_are_noise(spark):
     model = fit_hdbscan(points(spark, np.eye(3)), 5, 2)
     assert {r["topic_id"] for r in model.labels.collect()} == {-1}

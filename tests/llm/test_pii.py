@@ -205,3 +205,28 @@ def test_copies_and_other_kinds_crowd_out_nobody(spark):
     mail = pii.features("mail ab.12@host3.example.com now", "email", 5, 27)
     assert crowded.models["email"].probability(np.array([mail]))[0] == plain.models["email"].probability(np.array([mail]))[0]
     assert pii.find(text, plain)[0] == pii.find(text, crowded)[0] == []
+
+
+def test_all_texts_count_and_both_ways_give_the_same_trees(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (pii.fit_detector(docs, rows_on_driver=n, trees=2) for n in (pii.ROWS_ON_DRIVER, 0))
+    assert one.threshold == two.threshold
+    for kind in pii.KINDS:
+        assert type(one.models[kind]) is type(two.models[kind])
+        if isinstance(one.models[kind], boosting.Boosted):
+            assert all(np.array_equal(a, b) for a, b in zip(one.models[kind], two.models[kind]))
+
+
+def test_trees_are_grown_from_every_text(spark):
+    # Samples of 40,000 texts and 15,000 rows of a kind held back less than 4,000 of these rows.
+    texts = [(i, f"no {i} call +1 212 555 {i % 10000:04} or 2024-11-{i % 90 + 10}") for i in range(50_000)]
+    seen = []
+    bend = pii.bend
+    pii.bend = lambda model, margin, y, n: seen.append((y * n).sum()) or bend(model, margin, y, n)
+    try:
+        pii.fit_detector(spark.createDataFrame(texts, "doc_id long, text string"), trees=1)
+    finally:
+        pii.bend = bend
+    # Two rows of each held-out text, a quarter of all: with and without the mark.
+    assert sum(seen) > 24_000

@@ -1,16 +1,22 @@
-"""Gradient boosted trees for a bounded sample of rows, and thresholds from held-out rows.
+"""Gradient boosted trees of weighted rows, and thresholds from held-out rows.
 
 Logistic loss, histogram splits over at most 32 values of a feature, trees of fixed depth kept as
-arrays. Made for small feature tables that have been sampled from a Spark job; scoring is a few
-array operations and runs inside Arrow batches.
+arrays; scoring is a few array operations and runs inside Arrow batches. A tree needs only sums over the
+rows, level by level: ``grow`` asks for them, and they may come from arrays (``Rows``) or be added up over
+the tasks of a Spark job. They are sums of integers, so that both give the same trees in any order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 
+BINS = 32
+UNIT = float(1 << 24)  # gradients are summed as multiples of 1 / UNIT
+STEPS = 1024.0  # margins are multiples of 1 / STEPS, so that held-out rows can be counted by margin
+
 
 class Boosted(NamedTuple):
     start: float
@@ -21,14 +27,9 @@ class Boosted(NamedTuple):
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
-        rows = np.arange(len(x))
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(int(np.log2(len(leaf)))):
-                f = feature[node]
-                node = 2 * node + 1 + ((f >= 0) & (x[rows, np.maximum(f, 0)] > cut[node]))
-            out += leaf[node - len(feature)]
-        return out
+            out += leaf[place(x, feature, cut, int(np.log2(len(leaf))))]
+        return np.rint(out * STEPS) / STEPS
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.bend[0] + self.bend[1] * self.margin(x))
@@ -38,69 +39,126 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> Boosted:
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-    start = float(np.log(share / (1 - share)))
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[:-1])) if len(x) else np.zeros(1) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1) if x.shape[1] else x
-    margin = np.full(len(x), start)
+def place(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+    """The node of every row among those of a level of a tree."""
+    rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for _ in range(level):
+        f = feature[node]
+        node = 2 * node + 1 + ((f >= 0) & (x[rows, np.maximum(f, 0)] > cut[node]))
+    return node - (2**level - 1)
+
+
+def cuts_of(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Quantiles of distinct, sorted values, each of which stands for ``weight`` rows."""
+    if not len(values):
+        return np.zeros(1)
+    last = np.cumsum(weight)
+    at = np.linspace(0, 1, BINS + 1)[:-1] * (last[-1] - 1)
+    low = values[np.searchsorted(last, np.floor(at), "right")]
+    high = values[np.searchsorted(last, np.ceil(at), "right")]
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
+class Rows:
+    """Sums over rows that are held as arrays."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, cuts: list[np.ndarray], start: float):
+        self.x, self.y, self.weight = x, y, weight
+        self.bins = [np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]
+        self.total, self.done = np.full(len(x), start), 0
+
+    def sums(self, model: Boosted, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        """Gradients and curvatures by node of the level, feature and bin."""
+        for f, c, leaf in zip(model.feature[self.done :], model.cut[self.done :], model.leaf[self.done :]):
+            self.total += leaf[place(self.x, f, c, int(np.log2(len(leaf))))]
+        self.done = len(model.leaf)
+        p = _sigmoid(self.total)
+        parts = [np.rint(v * UNIT) * self.weight for v in (p - self.y, p * (1 - p))]
+        nodes, width = 2**level, BINS + 1
+        node = place(self.x, feature, cut, level) * width
+        out = [[np.bincount(node + b, v, nodes * width).reshape(nodes, width) for b in self.bins] for v in parts]
+        return np.array(out).transpose(2, 1, 3, 0)
+
+
+def start_of(right: float, total: float) -> float:
+    share = np.clip(right / total if total else 0.5, 1e-3, 1 - 1e-3)
+    return float(np.log(share / (1 - share)))
+
+
+def grow(
+    sums: Callable, cuts: list[np.ndarray], start: float, trees: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0
+) -> Boosted:
+    """Trees from ``sums(model, feature, cut, level)``, the sums over all rows for a level of the tree that is being made."""
     inner = 2**depth - 1
-    features, cuts, leaves = [], [], []
+    model = Boosted(start, np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, inner + 1)), (0.0, 1.0))
     for _ in range(trees):
-        p = _sigmoid(margin)
-        grad, hess = p - y, p * (1 - p)
-        feature, cut = np.full(inner, -1), np.zeros(inner)
-        node = np.zeros(len(x), np.int64)
-        for k in range(inner):
-            own = np.flatnonzero(node == k)
-            best = (1e-6, -1, 0.0)
-            g, h = grad[own].sum(), hess[own].sum()
-            for f, e in enumerate(edges):
-                if len(e) < 2 or not len(own):
-                    continue
-                left_g = np.bincount(binned[own, f], grad[own], len(e) + 1).cumsum()[: len(e)]
-                left_h = np.bincount(binned[own, f], hess[own], len(e) + 1).cumsum()[: len(e)]
-                gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
-                at = int(gain.argmax())
-                if gain[at] > best[0]:
-                    best = (gain[at], f, e[at])
-            _, feature[k], cut[k] = best
-            right = x[own, feature[k]] > cut[k] if feature[k] >= 0 else np.zeros(len(own), bool)
-            node[own] = 2 * k + 1 + right
-        leaf = np.zeros(inner + 1)
-        place = node - inner
-        np.add.at(leaf, place, -grad)
-        weight = np.bincount(place, hess, inner + 1) if len(x) else np.zeros(inner + 1)
-        leaf = rate * leaf / (weight + ridge)
-        margin += leaf[place]
-        features.append(feature)
-        cuts.append(cut)
-        leaves.append(leaf)
-    return Boosted(start, np.array(features), np.array(cuts), np.array(leaves), (0.0, 1.0))
+        feature, cut, leaf = np.full(inner, -1), np.zeros(inner), np.zeros(inner + 1)
+        for level in range(depth):
+            found = sums(model, feature, cut, level) / UNIT
+            for n, own in enumerate(found):
+                k, (g, h) = 2**level - 1 + n, own[0].sum(axis=0)
+                best, split = (1e-6, -1, 0.0), (g, h)
+                for f, c in enumerate(cuts):
+                    if len(c) < 2:
+                        continue
+                    left_g, left_h = own[f, : len(c)].cumsum(axis=0).T
+                    gain = left_g**2 / (left_h + ridge) + (g - left_g) ** 2 / (h - left_h + ridge) - g**2 / (h + ridge)
+                    at = int(gain.argmax())
+                    if gain[at] > best[0]:
+                        best, split = (gain[at], f, c[at]), (left_g[at], left_h[at])
+                _, feature[k], cut[k] = best
+                if level == depth - 1:
+                    leaf[2 * n] = -rate * split[0] / (split[1] + ridge)
+                    leaf[2 * n + 1] = -rate * (g - split[0]) / (h - split[1] + ridge)
+        model = model._replace(
+            feature=np.append(model.feature, [feature], 0), cut=np.append(model.cut, [cut], 0), leaf=np.append(model.leaf, [leaf], 0)
+        )
+    return model
+
+
+def counted(values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(values, return_inverse=True)
+    return distinct, np.bincount(at, weight, len(distinct))
+
+
+def boost(
+    x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, weight: np.ndarray | None = None
+) -> Boosted:
+    weight = np.ones(len(x)) if weight is None else weight
+    cuts = [cuts_of(*counted(x[:, f], weight)) for f in range(x.shape[1])]
+    start = start_of((y * weight).sum(), weight.sum())
+    return grow(Rows(x, y, weight, cuts, start).sums, cuts, start, trees, depth, rate, ridge)
 
 
 def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, steps: int = 60) -> Boosted:
     """Two-parameter calibration on rows that the trees haven't seen."""
-    if not 0 < y.sum() < len(y):
+    return bend(model, model.margin(x), y, np.ones(len(x)), steps)
+
+
+def bend(model: Boosted, margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> Boosted:
+    """The same from margins, each of which stands for ``weight`` rows."""
+    right, total = (y * weight).sum(), weight.sum()
+    if not 0 < right < total:
         return model
-    z = np.stack([np.ones(len(x)), model.margin(x)], 1)
+    z = np.stack([np.ones(len(margin)), margin], 1)
     # Targets a little inside 0 and 1, so that separable rows have a finite optimum.
-    goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    goal = np.where(y > 0, (right + 1) / (right + 2), 1 / (total - right + 2))
     w = np.array([0.0, 1.0])
     for _ in range(steps):
         p = _sigmoid(z @ w)
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, z.T @ (p - goal) + 1e-3 * (w - [0, 1]))
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, z.T @ (weight * (p - goal)) + 1e-3 * (w - [0, 1]))
         w = w - np.clip(step, -0.5, 0.5)  # far from the optimum a full step overshoots
     return model._replace(bend=(float(w[0]), float(max(w[1], 1e-3))))
 
 
-def threshold_for(p: np.ndarray, y: np.ndarray, precision: float, least: float = 0.5) -> float:
+def threshold_for(p: np.ndarray, y: np.ndarray, precision: float, least: float = 0.5, weight: np.ndarray | None = None) -> float:
     """The lowest threshold from which on the held-out rows reach the precision; above 1 if none does."""
-    if not len(p) or not y.sum():
+    weight = np.ones(len(p)) if weight is None else weight
+    if not len(p) or not (y * weight).sum():
         return 2.0
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    right = np.cumsum((y * weight)[order]) / np.cumsum(weight[order])
     last = np.append(p[order][1:] < p[order][:-1], True)  # equal scores are taken together
     good = np.flatnonzero((right >= precision) & last)
     return max(least, float(p[order][good[-1]])) if len(good) else 2.0

@@ -6,8 +6,8 @@ leftmost and without overlap within a kind. They are always redacted.
 **Candidates.** High-recall generators propose overlapping spans of each kind: addresses with
 spelled-out or spaced signs, and every stretch of digit groups, with any separators, that has as many
 digits as a kind allows. Features describe the format of a span (digits, groups, separators, check digits) and its
-context (neighbouring characters, words before it). Trees are boosted for each kind on candidates of a
-bounded sample of different texts, with a bound of its own for each kind, so that copies and kinds
+context (neighbouring characters, words before it). Trees are boosted for each kind on the candidates of all
+different texts, equal ones counted together, and each kind by itself, so that copies and kinds
 with many candidates crowd out nobody. Those that are base spans are right. Wrong are only those that a check refutes: a
 part of a longer word or number, a card without its check digit, an address with a part over 255, a quad or what
 meets a date or goes on as a phone, what lies in a base span of another kind. All others are what the trees are to judge, and don't train. A right span
@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.boosting import Boosted, boost, calibrate, threshold_for
+from themeloom.functions.vectors import matrix
+from themeloom.lineage import Workspace
+from themeloom.llm.boosting import BINS, Boosted, Rows, bend, boost, counted, cuts_of, grow, start_of, threshold_for
 from themeloom.llm.tokens import batch_udf, free_names
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 40_000
-SAMPLE_ROWS = 60_000
+ROWS_ON_DRIVER = 200_000  # different rows that the trees are grown from at once; more are summed up by Spark, level by level
+TREES = 30
 PRECISION = 0.995
 LEAST_TRAIN = 50
 LEAST_HELD = 20
@@ -249,12 +251,13 @@ class Detector(NamedTuple):
 
 
 def _examples(batches):
-    """Rows (kind, right, features, document) of the candidates of a task."""
+    """Rows (kind, right, features, document, place in it) of the candidates of a task."""
     for batch in batches:
-        kinds, right, rows, docs = [], [], [], []
+        kinds, right, rows, docs, places_in = [], [], [], [], []
         for doc, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist()):
             if not text or not _SOME.search(text):
                 continue
+            before = len(rows)
             base = set(base_spans(text))
             places = {kind: Places([(s, e) for k, s, e in base if k == kind]) for kind in KINDS}
             for c in candidates(text):
@@ -268,40 +271,107 @@ def _examples(batches):
                     right.append(c in base)
                     rows.append(features(text, *c, masked=masked))
                     docs.append(doc)
+                    places_in.append(len(rows) - before)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.string()), pa.array(right, pa.bool_()), pa.array(rows, pa.list_(pa.float64())), pa.array(docs, pa.int64())],
-            ["kind", "right", "x", "h"],
+            [pa.array(kinds, pa.string()), pa.array(right, pa.bool_()), pa.array(rows, pa.list_(pa.float64())), pa.array(docs, pa.int64()), pa.array(places_in, pa.int32())],
+            ["kind", "right", "x", "h", "n"],
         )
 
 
+def _level_sums(rows: DataFrame, cuts: list[np.ndarray], start: float):
+    """What ``grow`` asks for, added up by Spark: a task gives out at most a row for each node, feature and bin."""
+
+    def sums(model: Boosted, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        shape = (2**level, len(cuts), BINS + 1, 2)
+
+        def add_up(batches):
+            total = np.zeros(shape, np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    y, weight = batch["right"].to_numpy(zero_copy_only=False).astype(float), batch["n"].to_numpy()
+                    total += Rows(matrix(batch["x"]), y, weight, cuts, start).sums(model, feature, cut, level).astype(np.int64)
+            flat = total.reshape(-1, 2)
+            some = np.flatnonzero(flat.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some, 0]), pa.array(flat[some, 1])], ["slot", "g", "h"])
+
+        each = rows.select("right", "x", "n").mapInArrow(add_up, "slot long, g long, h long")
+        out = np.zeros((int(np.prod(shape[:3])), 2))
+        for r in each.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out[r["slot"]] = r["g"], r["h"]
+        return out.reshape(shape)
+
+    return sums
+
+
+def _fit_kind(rows: DataFrame, train: int, right: int, at_once: bool, precision: float, trees: int) -> tuple[Boosted, float]:
+    """Trees and threshold from all rows (held, right, x, n) of a kind, read at once or summed up by Spark."""
+    if at_once:
+        own = rows.toArrow()
+        x, y, weight = matrix(own["x"]), own["right"].to_numpy().astype(float), own["n"].to_numpy().astype(float)
+        held = own["held"].to_numpy()
+        model = boost(x[~held], y[~held], trees, weight=weight[~held])
+        code, n = counted(np.rint(model.margin(x[held]) * 2048) + y[held], weight[held])
+    else:
+        fitted = rows.filter("not held")
+        values = fitted.select(F.posexplode("x").alias("f", "value"), "n").groupBy("f", "value").agg(F.sum("n").alias("n"))
+        # A row for each value of a feature, and these are lengths and counts of digits and signs.
+        table = values.orderBy("f", "value").toArrow()
+        feature, value, n = (table[c].to_numpy() for c in ("f", "value", "n"))
+        cuts = [cuts_of(value[feature == f], n[feature == f]) for f in range(len(NAMES))]
+        start = start_of(right, train)
+        model = grow(_level_sums(fitted, cuts, start), cuts, start, trees)
+
+        def scored(batches):
+            for batch in batches:
+                y = batch["right"].to_numpy(zero_copy_only=False).astype(float)
+                code = np.rint(model.margin(matrix(batch["x"])) * 2048) + y if batch.num_rows else y
+                yield pa.RecordBatch.from_arrays([pa.array(code), batch["n"]], ["code", "n"])
+
+        codes = rows.filter("held").select("right", "x", "n").mapInArrow(scored, "code double, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        table = codes.orderBy("code").toArrow()
+        code, n = table["code"].to_numpy(), table["n"].to_numpy().astype(float)
+    # Margins are multiples of 1/1024, so that a code, twice as fine, holds the margin and whether it is right.
+    y = np.mod(code, 2)
+    margin = (code - y) / 2048
+    model = bend(model, margin, y, n)
+    p = 1 / (1 + np.exp(-np.clip(model.bend[0] + model.bend[1] * margin, -35, 35)))
+    return model, threshold_for(p, y, precision, weight=n)
+
+
 def fit_detector(
-    docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS,
-    precision: float = PRECISION,
+    docs: DataFrame, text: str = "text", sample_docs: int | None = None, sample_rows: int | None = None,
+    precision: float = PRECISION, rows_on_driver: int = ROWS_ON_DRIVER, trees: int = TREES,
 ) -> Detector:
-    """Boosted trees and thresholds from candidates of about ``sample_docs`` different texts, at most
-    ``sample_rows`` in all with equal parts for the kinds; fixed weights where they are too few."""
+    """Boosted trees and thresholds from the candidates of all different texts; fixed weights where they are too few.
+
+    Equal candidates are counted by Spark. Up to ``rows_on_driver`` different ones are read at once; of more, Spark adds
+    up what each level of a tree needs, with the same result. ``sample_docs`` asks for a sample of about so many different texts,
+    ``sample_rows`` for one of at most so many rows, with equal parts for the kinds.
+    """
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).filter("text IS NOT NULL")
-    share = min(1.0, sample_docs / max(1, rows.select("h").distinct().count()))
-    made = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["h"]).mapInArrow(
-        _examples, "kind string, right boolean, x array<double>, h bigint"
-    )
-    # The bound on rows of a kind; which ones go is decided by a hash.
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("h", "kind", "x"))
-    found = made.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_rows // len(KINDS)).drop("n").toArrow()
-    kinds = np.array(found["kind"].to_pylist(), object)
-    right = np.array(found["right"].to_pylist(), float)
-    x = np.array(found["x"].to_pylist(), float)
-    held = np.array([h % 4 == 0 for h in found["h"].to_pylist()], bool)
+    if sample_docs is not None:
+        share = min(1.0, sample_docs / max(1, rows.select("h").distinct().count()))
+        rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
+    # Copies of a text give the same rows, which count once.
+    made = rows.mapInArrow(_examples, "kind string, right boolean, x array<double>, h bigint, n int").distinct()
+    if sample_rows is not None:
+        # The bound on rows of a kind; which ones go is decided by a hash.
+        order = Window.partitionBy("kind").orderBy(F.xxhash64("h", "kind", "x"))
+        made = made.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_rows // len(KINDS))
+    held = (F.pmod("h", F.lit(4)) == 0).alias("held")
+    equal = made.groupBy("kind", held, "right", "x").agg(F.count("*").alias("n"))
+    equal = Workspace(docs.sparkSession, "pii").save(equal, "examples")
+    seen = equal.groupBy("kind", "held", "right").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
     models, threshold = {}, {}
     for kind in KINDS:
-        own = kinds == kind if len(kinds) else np.zeros(0, bool)
-        train, test = own & ~held if len(own) else own, own & held if len(own) else own
-        if train.sum() < LEAST_TRAIN or test.sum() < LEAST_HELD or not right[train].any():
+        own = [r for r in seen if r["kind"] == kind]
+        train, test = (sum(r["n"] for r in own if r["held"] == held) for held in (False, True))
+        right = sum(r["n"] for r in own if r["right"] and not r["held"])
+        if train < LEAST_TRAIN or test < LEAST_HELD or not right:
             models[kind], threshold[kind] = Prior(PRIORS[kind]), PRIOR_THRESHOLD
             continue
-        model = calibrate(boost(x[train], right[train]), x[test], right[test])
-        models[kind] = model
-        threshold[kind] = threshold_for(model.probability(x[test]), right[test], precision)
+        at_once = sum(r["rows"] for r in own) <= rows_on_driver // len(KINDS)
+        models[kind], threshold[kind] = _fit_kind(equal.filter(F.col("kind") == kind), train, right, at_once, precision, trees)
     return Detector(models, threshold)
 
 

@@ -220,3 +220,21 @@ def test_copies_behind_enough_nearer_ones_are_not_written_out(spark):
     for options in ({}, {"matrix_limit": 0, "block_rows": 16}):
         got = knn_join(df, df, 12, exclude_self=True, **options).toPandas().sort_values(["query_id", "rank"])
         assert (got.neighbor_id.to_numpy().reshape(len(x), 12) == knn(x, 12)).all()
+
+
+def test_words_of_long_texts_are_added_up_in_slices():
+    n, words, dim = 2000, 1500, 64
+    codes = np.random.default_rng(4).choice([-1, 1], n * words) * np.random.default_rng(8).integers(1, dim + 1, n * words)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(codes.astype(np.int32)))
+    lists = pa.concat_arrays([lists, pa.array([[], [3, 3, -1]], pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n + 2)), lists], ["id", "codes"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(inference._cell_sums(dim)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # At once it would be 24 MB for each of five columns.
+    assert peak < 30 << 20, peak
+    assert out.column("id").to_pylist() == list(range(n + 2))
+    got = np.array(out.column("raw").to_pylist())
+    assert got[:n].sum() == np.sign(codes).sum() and np.abs(got[n]).sum() == 0 and got[n + 1, 2] == 2 and got[n + 1, 0] == -1
+    assert list(inference._cell_sums(dim)(iter([batch.slice(0, 0)]))) == []

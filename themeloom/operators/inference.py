@@ -22,6 +22,8 @@ from themeloom.functions.scores import rank_scores, softmax
 from themeloom.functions.text import format_hypothesis, tokenize, truncate_pair
 from themeloom.functions.vectors import l2_normalize, list_array
 
+CODES_AT_ONCE = 1 << 18  # words of an embedding batch that are added up together
+
 # Request defaults.
 HYPOTHESIS_TEMPLATE = "This example is {}."
 BATCH_SIZE = 128
@@ -295,12 +297,33 @@ def sequences_scored(results: DataFrame) -> DataFrame:
 # --- embedding -------------------------------------------------------------------------------
 
 
+def _cell_sums(dim: int) -> Callable:
+    """Batch function from rows (id, codes) to (id, raw). Rows are added up in slices of about ``CODES_AT_ONCE`` words, so
+    that long texts need no more memory than short ones."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = np.cumsum(batch.column("codes").value_lengths().to_numpy(zero_copy_only=False))
+            piece = np.append(0, before[:-1]) // CODES_AT_ONCE if batch.num_rows else before
+            starts = np.searchsorted(piece, np.unique(piece)).tolist()
+            for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+                part = batch.slice(low, high - low)
+                codes = part.column("codes")
+                flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = codes.value_lengths().to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(part.num_rows), counts) * dim + np.abs(flat) - 1
+                sums = np.bincount(place, np.sign(flat), part.num_rows * dim).reshape(part.num_rows, dim)
+                yield pa.RecordBatch.from_arrays([part.column("id"), list_array(sums)], names=["id", "raw"])
+
+    return add_up
+
+
 def embed_hashed(df: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
     """``(id, embedding)`` from hashed words: each word adds +1 or -1 to one of ``dim`` cells.
 
     Built-in stand-in for a model. Each row is embedded where it is, without a shuffle, and rows
-    of one id stay apart: Spark turns every word into a signed cell number, one count per Arrow
-    batch adds them up.
+    of one id stay apart: Spark turns every word into a signed cell number, counts of a slice of an
+    Arrow batch add them up.
     """
 
     def coded(word: Column) -> Column:
@@ -308,18 +331,9 @@ def embed_hashed(df: DataFrame, dim: int = 64, text_col: str = "text") -> DataFr
         cell = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim + 1).cast("int")
         return F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, cell).otherwise(-cell)
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = batch.column("codes")
-            flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = codes.value_lengths().to_numpy(zero_copy_only=False)
-            place = np.repeat(np.arange(batch.num_rows), counts) * dim + np.abs(flat) - 1
-            sums = np.bincount(place, np.sign(flat), batch.num_rows * dim).reshape(batch.num_rows, dim)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(sums)], names=["id", "raw"])
-
     codes = F.coalesce(F.transform(tokenize(F.col(text_col)), coded), F.array().cast("array<int>"))
     id_type = df.schema["id"].dataType.simpleString()
-    sums = df.select("id", codes.alias("codes")).mapInArrow(add_up, f"id {id_type}, raw array<double>")
+    sums = df.select("id", codes.alias("codes")).mapInArrow(_cell_sums(dim), f"id {id_type}, raw array<double>")
     return sums.select("id", l2_normalize(F.col("raw")).alias("embedding"))
 
 

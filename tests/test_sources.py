@@ -153,3 +153,13 @@ def test_results_keep_their_provenance(spark, tmp_path):
     table = spark.range(1).withColumn("variant", F.lit("v"))
     folder = stages.write_results(str(tmp_path), "c", "r", "v", {"topics": table})
     assert spark.read.parquet(f"{folder}/topics.parquet").first()["variant"] == "v"
+
+
+def test_numbers_go_on_from_file_to_file_of_a_log(spark, tmp_path):
+    for name, lines in {"a/part-0": 3, "a/part-1": 2, "b/part-0": 1, "b/part-2": 4}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(lines)))
+    rows = logs.read_resource_log(spark, f"{tmp_path}/*", "/([^/]*)/[^/]*$").collect()
+    got = {r["line"]: r["line_no"] for r in rows}
+    assert [got[x] for x in ("a/part-0 0", "a/part-0 2", "a/part-1 0", "a/part-1 1", "b/part-0 0", "b/part-2 0", "b/part-2 3")] == [0, 2, 3, 4, 0, 1, 4]
+    assert {r["line_no"] for r in logs.read_resource_log(spark, f"{tmp_path}/*").filter("line LIKE '% 0'").collect()} == {0}

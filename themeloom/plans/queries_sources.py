@@ -129,13 +129,14 @@ def results(spark, folder):
       FROM documents) WHERE line <> ''""",
 )
 def log_files(spark, folder):
-    """One log of whole texts for each language, read back in splits; the newest file is found by its metadata."""
+    """One log of whole texts for each language, cut into files by ranges of documents and read back in splits; the newest
+    file is found by its metadata."""
     work = Workspace(spark, "logs")
     docs = table(spark, folder, "documents")
     line = F.regexp_replace(F.regexp_replace("text", "\n", " "), "\r", " ")
-    rows = docs.select("lang", "doc_id", line.alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
+    rows = docs.select("lang", "doc_id", line.alias("value")).repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
     rows.select("lang", "value").write.partitionBy("lang").text(f"{work.root}/raw")
-    back = read_resource_log(spark, f"{work.root}/raw/*")
+    back = read_resource_log(spark, f"{work.root}/raw/*", "lang=([^/]*)/")
     assert latest_file(spark, f"{work.root}/raw/*", "part-*") is not None
     lang = F.regexp_extract("file", "lang=([^/]*)/", 1)
     return back.filter("line <> ''").select(lang.alias("lang"), F.col("line_no").cast("long").alias("line_no"), F.md5(F.col("line").cast("binary")).alias("line"))

@@ -39,9 +39,12 @@ def numbered_lines(whole: DataFrame) -> DataFrame:
     )
 
 
-def read_resource_log(spark: SparkSession, path: str) -> DataFrame:
+def read_resource_log(spark: SparkSession, path: str, log: str | None = None) -> DataFrame:
     """``(file, line_no, line)``: numbered lines of resource logs of any size, numbers from 0.
 
+    Every file is a log. Of logs that are cut into files, ``log`` is a pattern whose first group names the log in the path of a
+    file; numbers then go on from file to file, in the order of their paths.
+
     Files are read in splits. The lines are stored with the split they come from and their place in it; the
     number of lines of every split, summed over the splits before it, completes the number. What follows
     the last line break of a file is a line only if it isn't empty.
@@ -52,8 +55,9 @@ def read_resource_log(spark: SparkSession, path: str) -> DataFrame:
     )
     stored = Workspace(spark, "log-lines").save(lines, "lines")
     splits = stored.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    # A split of a file is at least a block, so a file has few of them.
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    # A split is a block or a whole file, so a log has few of them.
+    own = F.col("file") if log is None else F.regexp_extract("file", log, 1)
+    before = F.sum("n").over(Window.partitionBy(own).orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
     offsets = splits.select("file", "split", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
     return stored.join(offsets, ["file", "split"]).select(
         "file", (F.col("place") + F.col("offset")).alias("line_no"), "line"

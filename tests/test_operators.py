@@ -1,3 +1,4 @@
+import re
 import tracemalloc
 
 import numpy as np
@@ -238,3 +239,22 @@ def test_words_of_long_texts_are_added_up_in_slices():
     got = np.array(out.column("raw").to_pylist())
     assert got[:n].sum() == np.sign(codes).sum() and np.abs(got[n]).sum() == 0 and got[n + 1, 2] == 2 and got[n + 1, 0] == -1
     assert list(inference._cell_sums(dim)(iter([batch.slice(0, 0)]))) == []
+
+
+def test_bigrams_between_documents_share_the_shuffle_of_the_terms(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = [(0, "a", "red fox"), (0, "b", "fox den"), (0, "c", "!"), (0, "d", "fox den"), (1, "a", "red fox"), (1, "b", "den")]
+    df = spark.createDataFrame(rows, "topic_id long, id string, doc string")
+    counted = terms.term_counts(df.mapInArrow(count, df.schema), (2, 2), boundary_ngrams=True)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"keys=\[topic_id#\w+, term#", plan)) == 2  # partial and final
+    got = {(r["topic_id"], r["term"]): r["tf"] for r in counted.collect()}
+    assert got == {(0, "red fox"): 1, (0, "fox den"): 2, (0, "fox fox"): 1, (0, "den fox"): 1, (1, "red fox"): 1, (1, "fox den"): 1}
+    # Once for the ends, once for the terms; the bounds of the ranges took a third reading.
+    assert reads.value == 2 * len(rows)

@@ -49,21 +49,29 @@ def topic_order(df: DataFrame) -> DataFrame:
     return df.orderBy("topic_id")
 
 
-def _count_terms(docs: DataFrame, ngram: tuple[int, int], stop_words: Sequence[str]) -> DataFrame:
-    """Term counts, where a document without terms gives its topic a null term of count 0, so
+def _count_terms(docs: DataFrame, ngram: tuple[int, int], stop_words: Sequence[str], boundary_ngrams: bool = False) -> DataFrame:
+    """Term counts, with the bigrams between documents in the same shuffle if they are asked for, where a document without terms gives its topic a null term of count 0, so
     that a topic without terms still counts as a topic. Callers test ``tf`` and not ``term``:
     a test on a grouping key would be pushed below the aggregate, and the branches that read
     these counts would no longer share one shuffle."""
     tokens = docs.select("topic_id", remove_stop_words(tokenize(F.col("doc")), stop_words).alias("t"))
     terms = tokens.select("topic_id", F.explode_outer(ngrams(F.col("t"), *ngram)).alias("term"))
+    if boundary_ngrams and ngram[0] <= 2 <= ngram[1]:
+        terms = terms.unionByName(_boundary_terms(docs, stop_words))
     return terms.groupBy("topic_id", "term").agg(F.count("term").alias("tf"))
 
 
 def boundary_bigrams(docs: DataFrame, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
     """``(topic_id, term, tf)`` of the bigrams that begin with the last word of a document and end
-    with the first word of the next one with words in its topic, by id.
+    with the first word of the next one with words in its topic, by id."""
+    return _boundary_terms(docs, stop_words).groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+
+
+def _boundary_terms(docs: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """A row for each of these bigrams, as often as it occurs.
 
-    The words at the ends, not the documents, are sorted into ranges of topic and id. Each range
+    The words at the ends, not the documents, are stored and sorted into ranges of topic and id, so that the
+    texts are read once and not again for the bounds of the ranges. Each range
     pairs its own neighbours; its last row of a topic takes the first row of the next range that
     has the topic from a table of one row for each range and topic.
     """
@@ -71,17 +79,16 @@ def boundary_bigrams(docs: DataFrame, stop_words: Sequence[str] = ENGLISH) -> Da
     ends = docs.select("topic_id", "id", words.alias("t")).filter(F.size("t") > 0).select(
         "topic_id", "id", F.element_at("t", 1).alias("head"), F.element_at("t", -1).alias("tail")
     )
-    ranges = ends.repartitionByRange("topic_id", "id").withColumn("part", F.spark_partition_id())
-    placed = Workspace(docs.sparkSession, "boundaries").save(ranges, "ends")
+    work = Workspace(docs.sparkSession, "boundaries")
+    ranges = work.save(ends, "words").repartitionByRange("topic_id", "id").withColumn("part", F.spark_partition_id())
+    placed = work.save(ranges, "ends")
     heads = placed.groupBy("topic_id", "part").agg(F.min_by("head", "id").alias("head"))
     later = F.lead("head").over(Window.partitionBy("topic_id").orderBy("part"))
     following = heads.select("topic_id", "part", later.alias("following"))
     own = F.lead("head").over(Window.partitionBy("topic_id", "part").orderBy("id"))
     paired = placed.withColumn("own", own).join(following, ["topic_id", "part"])
     term = F.concat_ws(" ", "tail", F.coalesce("own", "following"))
-    return paired.filter("own IS NOT NULL OR following IS NOT NULL").groupBy("topic_id", term.alias("term")).agg(
-        F.count("*").alias("tf")
-    )
+    return paired.filter("own IS NOT NULL OR following IS NOT NULL").select("topic_id", term.alias("term"))
 
 
 def term_counts(
@@ -92,11 +99,7 @@ def term_counts(
     N-grams stay inside a document. ``boundary_ngrams`` adds the bigrams between one document of
     a topic and the next by id.
     """
-    counts = _count_terms(docs, ngram, stop_words).filter("tf > 0")
-    if not boundary_ngrams or not ngram[0] <= 2 <= ngram[1]:
-        return counts
-    both = counts.unionByName(boundary_bigrams(docs, stop_words))
-    return both.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+    return _count_terms(docs, ngram, stop_words, boundary_ngrams).filter("tf > 0")
 
 
 def _term_stats(counts: DataFrame) -> DataFrame:
@@ -154,10 +157,7 @@ def ctfidf(
     """
     if require_topics and docs.isEmpty():
         guard_vectorizer(0)
-    counted = _count_terms(docs, ngram, stop_words)
-    if boundary_ngrams and ngram[0] <= 2 <= ngram[1]:
-        both = counted.unionByName(boundary_bigrams(docs, stop_words))
-        counted = both.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+    counted = _count_terms(docs, ngram, stop_words, boundary_ngrams)
     n = counted.agg(F.countDistinct(F.when(F.col("tf") >= 0, F.col("topic_id")))).scalar()
     counts = counted.filter("tf > 0")
     infeasible = (n < min_df) | (F.lit(max_df) * n < min_df)

@@ -205,7 +205,7 @@ def near_copies(
     )
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    links = banded.join(buckets, "band").filter("key <> head").select("key", "head").distinct()
+    links = banded.join(buckets, "band").filter("key <> head").select("key", "head")
     candidates = components(links, "key", "head", work, "candidates")
 
     members = candidates.withColumnRenamed("node", "key").join(classes.drop("bands"), "key")

@@ -132,3 +132,39 @@ def test_stream_query_collects_no_log(spark, folder, monkeypatch):
     monkeypatch.setattr(queries_models, "stream_of", lambda s, w, name, table: saved.append(table) or stream_of(s, w, name, table))
     assert queries_models.stream_resource_series(spark, folder).count()
     assert saved[0].columns == ["file", "line_no", "line"]
+
+
+def test_timers_of_many_hosts_share_a_bucket(spark):
+    """The same decisions whatever the buckets; the state has a row for each bucket, not for each host."""
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    names = [f"h{i}" for i in range(60)]
+    beats = [(h, at(1 + (7 * i * k) % (40 + i)), False) for i, h in enumerate(names) for k in range(i % 5)]
+    beats += [("h1", at(1), False), (None, at(3), False), ("end", at(300), False)]
+    born = [(h, START, True) for h in names]
+    for buckets in (1, 3, 1000):
+        work = Workspace(spark, "test-buckets")
+        got = None
+        for low, high in ((-1, 20), (20, 45), (45, 1000)):
+            part = [r for r in born + beats if at(low) <= r[1] < at(high)]
+            rows_in = spark.createDataFrame(part, "host string, ts timestamp, born boolean")
+            rows_in.coalesce(1).write.mode("append").parquet(f"{work.root}/in")
+            stream = stream_of(spark, work, "in", rows_in)
+            got = drain(live.stream_idle_heartbeat(stream, 5, 30, "0 seconds", buckets=buckets), work, "out")
+        found = {r["host"]: (r["phase"], r["last_beat"], r["stop_at"]) for r in got.collect()}
+        assert got.count() == len(found)
+
+        def decided(host):
+            times = sorted(t for h, t, _ in beats if h == host)
+            if host in names and (not times or times[0] >= at(30)):
+                return "STARTUP", None, at(30)
+            run = [times[0]]
+            for t in times[1:]:
+                if t >= run[-1] + dt.timedelta(minutes=5):
+                    break
+                run.append(t)
+            return "IDLE", run[-1], run[-1] + dt.timedelta(minutes=5)
+
+        assert found == {h: decided(h) for h in [*names, None]}
+    held = spark.read.format("statestore").load(f"{work.root}/out-checkpoint")
+    assert held.count() == held.select("key").distinct().count() <= 62
+    assert held.selectExpr("sum(size(value.groupState.hosts)) AS n").first()["n"] == 62

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ BEAT_SCHEMA = "host string, phase string, last_beat timestamp, stop_at timestamp
 
 
 FORGET = "7 days"  # silence after which a host's state goes
+HOST_BUCKETS = 4_096  # groups of hosts whose timers are kept together, since a call of Python costs more than a host
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -131,6 +133,7 @@ def stream_idle_heartbeat(
     idle_min: float = IDLE_MIN,
     startup_grace_min: float = STARTUP_GRACE_MIN,
     watermark: str = "1 hour",
+    buckets: int = HOST_BUCKETS,
 ) -> DataFrame:
     """One decision row per host when its limit has passed in event time.
 
@@ -140,50 +143,73 @@ def stream_idle_heartbeat(
     ``beats(host, ts, born)``: a host is announced by a row with ``born`` true, whose time starts
     its grace; every later row is activity. The timer follows the watermark, so a quiet host is
     decided as soon as any other host's time has moved past its limit.
+
+    Hosts are dealt by hash into ``buckets``; the state of a bucket lists its hosts, and its timer is the earliest of theirs.
     """
     idle_us, grace_us = int(idle_min * 60e6), int(startup_grace_min * 60e6)
 
-    def decision(host, served, last, at):
-        when = pd.Timestamp(at, unit="us")
-        beat = pd.Timestamp(last, unit="us") if served else pd.NaT
-        row = [(host, "IDLE" if served else "STARTUP", beat, when, True)]
-        return pd.DataFrame(row, columns=["host", "phase", "last_beat", "stop_at", "stop"])
-
     def limit_of(served, started, last):
         if served:
             return last + idle_us if idle_us > 0 else None
         return started + grace_us if started is not None and grace_us > 0 else None
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        served, started, last, stopped = state.get if state.exists else (False, None, None, False)
-        if state.hasTimedOut:
-            at = limit_of(served, started, last)
-            state.update((served, started, last, True))
-            yield decision(key[0], served, last, at)
-            return
-        for ts, born in _in_order(frames)[["ts", "born"]].itertuples(index=False):
-            at = int(ts.value // 1000)
+    def rows_by_host(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        rows = _in_order(frames)
+        code, names = pd.factorize(rows["host"], use_na_sentinel=False)
+        order = np.argsort(code, kind="stable")
+        at = (rows["ts"].to_numpy().astype("datetime64[ns]").astype(np.int64) // 1000)[order]
+        born = rows["born"].to_numpy()[order]
+        ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(names))))
+        for n, name in enumerate(names):
+            own = slice(ends[n], ends[n + 1])
+            yield None if pd.isna(name) else name, at[own].tolist(), born[own].tolist()
+
+    def after(host: tuple, at: list[int], born: list[bool]) -> tuple:
+        served, started, last, stopped = host
+        for now, is_born in zip(at, born):
             due = limit_of(served, started, last)
-            if not stopped and due is not None and at >= due:
-                stopped = True
-                yield decision(key[0], served, last, due)
+            stopped = stopped or (due is not None and now >= due)
             if stopped:
                 break
-            if born:
-                started = at if started is None else started
+            if is_born:
+                started = now if started is None else started
             else:
-                served, last = True, at
-        state.update((served, started, last, stopped))
-        due = limit_of(served, started, last)
-        if not stopped and due is not None:
-            state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+                served, last = True, now
+        return served, started, last, stopped
 
-    kept = "served boolean, started long, last long, stopped boolean"
-    return (
-        beats.withWatermark("ts", watermark).groupBy("host").applyInPandasWithState(
-            step, BEAT_SCHEMA, kept, "append", GroupStateTimeout.EventTimeTimeout
-        )
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hosts = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+        open_before = {h for h, x in hosts.items() if not x[3]}
+        if not state.hasTimedOut:
+            for name, at, born in rows_by_host(frames):
+                if name not in hosts:
+                    hosts[name] = (False, None, None, False)
+                    open_before.add(name)
+                if not hosts[name][3]:
+                    hosts[name] = after(hosts[name], at, born)
+        watermark_ms, found, waiting = state.getCurrentWatermarkMs(), [], []
+        for name in open_before:
+            served, started, last, stopped = hosts[name]
+            due = limit_of(served, started, last)
+            if stopped or (due is not None and due // 1000 < watermark_ms):
+                hosts[name] = (served, started, last, True)
+                found.append((name, "IDLE" if served else "STARTUP", last if served else None, due))
+            elif due is not None:
+                waiting.append(due // 1000)
+        state.update((list(hosts), *map(list, zip(*hosts.values()))))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting), watermark_ms + 1))
+        if found:
+            out = pd.DataFrame(found, columns=["host", "phase", "last_beat", "stop_at"])
+            for c in ("last_beat", "stop_at"):
+                out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+            yield out.assign(stop=True)
+
+    kept = "hosts array<string>, served array<boolean>, started array<long>, last array<long>, stopped array<boolean>"
+    dealt = beats.withWatermark("ts", watermark).select(
+        F.pmod(F.xxhash64("host"), F.lit(buckets)).alias("bucket"), F.col("host").cast("string").alias("host"), "ts", "born"
     )
+    return dealt.groupBy("bucket").applyInPandasWithState(step, BEAT_SCHEMA, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_sessions(beats: DataFrame, idle_min: float = IDLE_MIN, watermark: str = "1 hour") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tests.brute import hdbscan, same_partition
 from themeloom.operators.density import _search, fit_hdbscan, predict_hdbscan
 from themeloom.lineage import Workspace, shared_dir
-from themeloom.operators import preprocess
 from themeloom.operators.manifold import ManifoldModel, curve, fit_manifold, local_scale, transform_manifold
-from themeloom.operators.neighbors import build_cells, in_bundles, knn_join, prepare_points
+from themeloom.operators import neighbors, preprocess
+from themeloom.operators.neighbors import build_cells, in_bundles, knn_join, lower_bounds, prepare_points, squared_distances
 from themeloom.plans.inputs import planted, table, texts
 from themeloom.plans.topic_model import FittedModels, project, run_topic_model
 from themeloom.streaming.projection import score_stream
@@ -59,6 +59,39 @@ def test_points_move_once_to_a_bundle_of_cells(spark):
     assert spark.read.parquet(f"{work.root}/visits-0").count() <= 240 * 3
 
 
+def test_searches_skip_most_points_of_far_clusters(spark):
+    """Clusters without an edge to another one in the graph, and queries of the k-NN join, ask few of all cells."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(30, 1, 3)) * 100 + rng.normal(size=(30, 80, 3))).reshape(-1, 3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    comp = np.arange(len(x)) // 80
+    nodes = points(spark, x).selectExpr("id AS node", "embedding", "id % 7 / 10D AS core", "0D AS reach")
+    work = Workspace(spark, "far")
+    cells = build_cells(nodes, "node", work, len(x), block_rows=128, per_block=16)
+    labels = nodes.selectExpr("node", "node div 80 AS comp")
+    best = spark.createDataFrame([], "comp long, best struct<w double, lo long, hi long>")
+    found = {r["c_lo"]: r["w"] for r in _search(cells, in_bundles(cells, 3, 128), labels, best, work).collect()}
+    core = np.arange(len(x)) % 7 / 10
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    assert found == {c: pytest.approx(reach[comp == c][:, comp != c].min()) for c in range(30)}
+    asked = spark.read.parquet(f"{work.root}/visits-0").selectExpr("sum(size(cells)) AS n").first()["n"]
+    assert asked < len(x) * len(cells.pivots) / 50
+
+    bound, to_pivots, _ = lower_bounds(x, cells.pivots, cells.sizes, cells.radii)
+    cell = squared_distances(x, cells.pivots).argmin(axis=1)
+    nearest_of = np.stack([d[:, cell == c].min(axis=1) if (cell == c).any() else np.full(len(x), np.inf) for c in range(len(cells.pivots))], axis=1)
+    assert (bound <= nearest_of).all()
+    halfway = np.maximum(to_pivots - cells.radii, (to_pivots - to_pivots.min(axis=1, keepdims=True)) / 2)
+    assert (bound >= halfway - 1e-3).all() and (bound > halfway + 1e-3).any()
+
+
+def test_many_points_are_searched_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "MATRIX_POINTS", 100)
+    x = np.random.default_rng(12).normal(size=(150, 3))
+    assert prepare_points(points(spark, x), 4).index.cells is not None
+    assert prepare_points(points(spark, x[:90]), 4).index.shared is not None
+
+
 def test_too_few_points_are_noise(spark):
     model = fit_hdbscan(points(spark, np.eye(3)), 5, 2)
     assert {r["topic_id"] for r in model.labels.collect()} == {-1}

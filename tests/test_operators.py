@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from themeloom.lineage import Workspace
 from themeloom.operators import inference, preprocess, terms, topics
 from themeloom.operators.concepts import index_concepts, nearest_concept
 from themeloom.operators.dedup import dedup_by_id, fallback_minus_primary
@@ -105,6 +106,18 @@ def points(spark, x, first=0):
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(first, first + len(x)), "embedding": list(x)}))
 
 
+def test_stored_counts_give_the_same_weights(spark):
+    rows = [(i % 4, " ".join(f"w{(i * j) % 23}" for j in range(1, 9))) for i in range(40)]
+    work = Workspace(spark, "counts")
+    key = lambda df: sorted((r["topic_id"], r["term"], r["tf"], round(r["weight"], 9)) for r in df.collect())
+    stored = terms.ctfidf(docs(spark, rows), work=work)
+    assert key(stored) == key(terms.ctfidf(docs(spark, rows))) and key(stored)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and spark.read.parquet(f"{work.root}/counts").count() > 0
+    with pytest.raises(ValueError, match="no non-noise topics"):
+        terms.ctfidf(docs(spark, []), require_topics=True, work=work)
+
+
 @pytest.mark.parametrize("options", [{}, {"matrix_limit": 0, "block_rows": 40}])
 def test_knn_with_copies_and_ties(spark, options):
     rng = np.random.default_rng(3)

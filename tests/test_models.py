@@ -9,7 +9,7 @@ from tests.brute import hdbscan, same_partition
 from themeloom.operators.density import _search, fit_hdbscan, predict_hdbscan
 from themeloom.lineage import Workspace, shared_dir
 from themeloom.operators.manifold import ManifoldModel, curve, fit_manifold, local_scale, transform_manifold
-from themeloom.operators import neighbors, preprocess
+from themeloom.operators import density, neighbors, preprocess
 from themeloom.operators.neighbors import build_cells, in_bundles, knn_join, lower_bounds, prepare_points, squared_distances
 from themeloom.plans.inputs import planted, table, texts
 from themeloom.plans.topic_model import FittedModels, project, run_topic_model
@@ -59,6 +59,40 @@ def test_points_move_once_to_a_bundle_of_cells(spark):
     assert spark.read.parquet(f"{work.root}/visits-0").count() <= 240 * 3
 
 
+def test_large_components_wait(spark, monkeypatch):
+    """A cluster of most points doesn't search while others are still joining each other; the tree is that of all pairs."""
+    rng = np.random.default_rng(21)
+    far = np.zeros((16, 8))
+    far[:, 0] = 1000 + 3 * ((np.arange(16)[:, None] >> np.arange(4) & 1) * 4 ** np.arange(4)).sum(1)
+    x = np.concatenate([rng.normal(size=(400, 8)), far + rng.normal(size=(16, 8)) / 100])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = np.argsort(d[:400, :400], axis=1)[:, 1:11]
+    pairs = pd.DataFrame({"a": np.repeat(np.arange(400), 10), "b": near.ravel()})
+    graph = spark.createDataFrame(pd.DataFrame({"lo": pairs.min(axis=1), "hi": pairs.max(axis=1), "w": d[pairs.a, pairs.b]}).drop_duplicates())
+    cored = spark.createDataFrame(
+        pd.DataFrame({"node": np.arange(416), "embedding": list(x), "core": np.zeros(416), "reach": np.append(np.sort(d[:400], axis=1)[:, 10], np.zeros(16))})
+    )
+    asked, search = [], density.visit
+
+    def counted(bundles, visits, *rest):
+        asked.append(visits.select("node").distinct().count())
+        return search(bundles, visits, *rest)
+
+    monkeypatch.setattr(density, "visit", counted)
+    tree = density.spanning_tree(cored, graph, Workspace(spark, "wait"), 416, block_rows=100).toPandas()
+    assert len(tree) == 415 and tree.w.sum() == pytest.approx(spanning_weight(d))
+    assert asked[-1] == 16, asked  # without waiting all the points of the cluster ask in every round
+
+
+def spanning_weight(d):
+    left, reach, total = np.ones(len(d), bool), d[0].copy(), 0.0
+    left[0] = False
+    while left.any():
+        j = np.flatnonzero(left)[reach[left].argmin()]
+        total, left[j], reach = total + reach[j], False, np.minimum(reach, d[j])
+    return total
+
+
 def test_searches_skip_most_points_of_far_clusters(spark):
     """Clusters without an edge to another one in the graph, and queries of the k-NN join, ask few of all cells."""
     rng = np.random.default_rng(11)

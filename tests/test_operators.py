@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.lineage import Workspace
-from themeloom.operators import inference, preprocess, terms, topics
+from themeloom.operators import inference, neighbors, preprocess, terms, topics
 from themeloom.operators.concepts import index_concepts, nearest_concept
 from themeloom.operators.dedup import dedup_by_id, fallback_minus_primary
 from themeloom.operators.neighbors import _top_of_bundle, knn_join
@@ -224,6 +224,25 @@ def test_a_visit_holds_few_of_the_neighbours_it_finds():
     assert np.allclose(got, np.sort(d, axis=1)[:, :32], rtol=0, atol=1e-12)
 
 
+def test_screened_neighbours_are_those_of_all_pairs(monkeypatch):
+    """Of a million pairs the double-precision product is never asked for, and what is found is the same to the last bit."""
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(500, 24)), rng.normal(size=(2000, 24))
+    y[1000:1200] = y[:200]
+    kinds = {"plain": (x, y), "far": (x + 1e5, y + 1e5), "tiny": (x * 1e-9, y * 1e-9), "huge": (x * 1e9, y * 1e9)}
+    for name, (a, b) in kinds.items():
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+        order = np.lexsort((np.broadcast_to(np.arange(2000), d.shape), d))[:, :6]
+        for limit in (None, np.sort(d, axis=1)[:, 9]):
+            r, c, got = neighbors.nearest(a, b, 6, limit)
+            assert (r == np.repeat(np.arange(500), 6)).all() and (c == order.ravel()).all(), name
+            assert (got == np.take_along_axis(d, order, axis=1).ravel()).all()
+    monkeypatch.setattr(neighbors, "squared_distances", None)
+    assert len(neighbors.nearest(x, y, 6)[0]) == 3000
+    with pytest.raises(TypeError):  # what single precision can't hold takes the other product
+        neighbors.nearest(x * 1e20, y * 1e20, 6)
+
+
 def test_copies_behind_enough_nearer_ones_are_not_written_out(spark):
     left, right, d = bundle_of(50, 200, 5, 61)
     found = _top_of_bundle(61)(left, right)
